@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from keylog.llm import license_scan, quality_rules, sharding
+from keylog.llm import license_scan, packing, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_warc": warc.op3_warc,
+    "op6_packing": packing.op6_packing,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
