@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keylog.llm import license_scan, packing, quality_rules, sharding, warc
+from keylog.llm import license_scan, packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_warc": warc.op3_warc,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
