@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keylog.llm import license_scan, packing, quality_rules, sharding, toxicity, warc
+from keylog.llm import license_scan, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_warc": warc.op3_warc,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
