@@ -14,11 +14,22 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 
 
+BATCH_ROWS = 1000  #: rows that a Python worker holds at once; texts can be long
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Only Spark's reader touches the path."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_ROWS rows, so that a worker's memory is bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

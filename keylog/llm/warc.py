@@ -162,8 +162,11 @@ def members(read_at, start: int, end: int, size: int, more: int = 1 << 20) -> It
         at = fed - len(z.unused_data)
 
 
-def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of archives (path, bytes), read by byte ranges in parallel."""
+def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """All records of archives (path, bytes), read by byte ranges in parallel.
+
+    payloads: whether the column ``payload`` is filled; sizes and digests always come from the decoded payload.
+    """
     splits = archives.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
     n = max(1, min(splits.count(), 10_000))
 
@@ -175,9 +178,10 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 with fs.open_input_file(name) as f:
                     rows, held = [], 0
                     for at, data in members(lambda k, place: f.read_at(k, place), start, min(start + split_bytes, size), size):  # noqa: B023
-                        rows.append(parse(data) | {"path": path, "at": at})
-                        held += len(data)
-                        if held > 16 << 20:
+                        row = parse(data) | {"path": path, "at": at}
+                        held += len(data) if payloads else 1000
+                        rows.append(row if payloads else row | {"payload": None})
+                        if held > 4 << 20:
                             yield frame(rows, names)
                             rows, held = [], 0
                     if rows:
@@ -191,7 +195,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"), min_bytes=0)
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
