@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keylog.llm import license_scan, packing, quality_rules, secret_scan, sharding, toxicity, warc
+from keylog.llm import decontaminate, license_scan, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL = {
