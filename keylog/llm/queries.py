@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keylog.llm import decontaminate, license_scan, packing, quality_rules, secret_scan, sharding, toxicity, warc
+from keylog.llm import decontaminate, license_scan, ngram_join, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_warc": warc.op3_warc,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
