@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keylog.llm import decontaminate, license_scan, ngram_join, packing, quality_rules, secret_scan, sharding, toxicity, warc
+from keylog.llm import decontaminate, license_scan, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_warc": warc.op3_warc,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_secret_scan": secret_scan.op5_secret_scan,
