@@ -110,7 +110,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         """A wrapped sentence if it is known as a whole, else its lines."""
         return F.when(F.try_element_at(known, norm(s)).isNotNull(), F.array(s)).otherwise(F.split(s, "\n"))
 
-    ends = F.split(F.regexp_replace("text", r"([.!?:;])[ \t-\r]+", "$1\u001e"), "\u001e|\n[ \t\r]*\n")
+    ends = F.split(F.regexp_replace("text", r"([.!?;])[ \t-\r]+", "$1\u001e"), "\u001e|\n[ \t\r]*\n")
     d = docs.select("doc_id", "source", whole_text().alias("text"))
     d = d.withColumn("text", F.when(F.col("text").rlike(f"(?i){LIKE}"), F.col("text")).otherwise(""))
     d = d.withColumn("_s", F.transform(F.filter(ends, lambda s: like(F.lower(s))), cut))
@@ -152,7 +152,7 @@ def _sql() -> str:
     return rf"""
 WITH known(s, id) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
-c AS (SELECT rid, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT rid, regexp_split_to_array(regexp_replace(text, '([.!?:;])[\x20\x09-\x0D]+', '\1' || chr(30), 'g'), chr(30) || '|\n[\x20\x09\x0D]*\n') AS x FROM d)),
+c AS (SELECT rid, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT rid, regexp_split_to_array(regexp_replace(text, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(30), 'g'), chr(30) || '|\n[\x20\x09\x0D]*\n') AS x FROM d)),
 l AS (SELECT rid, i, CASE WHEN {norm.format('s')} IN (SELECT s FROM known) THEN [s] ELSE string_split(s, chr(10)) END AS y FROM c WHERE regexp_matches(lower(s), '{LIKE}')),
 t AS (SELECT rid, i, j, {norm.format('z')} AS s FROM (SELECT rid, i, unnest(y) AS z, unnest(range(len(y))) AS j FROM l)),
 u AS (SELECT t.*, known.id FROM t LEFT JOIN known ON t.s = known.s WHERE regexp_matches(t.s, '{LIKE}')),
