@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,13 @@ LENGTH = 100
 GRAM = 40
 HOT = 20_000
 FLUSH = 32 << 20  #: bytes of text whose spans are reduced together before the shuffle
+CHUNK = 1 << 20  #: windows hashed at a time
 _BASE = 0x9DDFEA08EB382D69
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _END = np.iinfo(np.int64).max  #: stands for a null doc_id
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
     np.cumprod(np.full(n - 1, base, dtype=np.uint64), out=out[1:])
@@ -60,19 +63,29 @@ class Hashes:
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
+        room = max(1024, 1 << n.bit_length())
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, max(n, 1))[:n], out=self.sums[1:])
-        self.inverse = _powers(_INVERSE, n + 1)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, room)[:n], out=self.sums[1:])
+        self.inverse = _powers(_INVERSE, room)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return B.mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Per anchor: doc (index), at (place of its gram), lo and hi (first and last window start), g and s (hashes of gram and span); places in ``data``."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> dict[str, np.ndarray]:
+    """Per anchor: doc (index), lo and hi (first and last window start), g and s (hashes of gram and span); places in ``data``.
+
+    Windows are taken ``chunk`` at a time. A span that a border cuts in two is two spans: they may be
+    contested where one would not be, with the same result.
+    """
+    found = [_anchors(data[a : a + chunk + length - 1], a, offsets, length, gram) for a in range(0, max(1, len(data) - length + 1), chunk)]
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
+def _anchors(data: np.ndarray, base: int, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     w = length - gram + 1
     n = len(data)
-    none = {k: np.zeros(0, dtype=np.uint64 if k in "gs" else np.int64) for k in ("doc", "at", "lo", "hi", "g", "s")}
+    none = {k: np.zeros(0, dtype=np.uint64 if k in "gs" else np.int64) for k in ("doc", "lo", "hi", "g", "s")}
     if n < length:
         return none
     hashes = Hashes(data)
@@ -87,15 +100,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     if size < w:
         least = np.minimum(least[: len(least) - (w - size)], least[w - size :])
     anchor = (least & low).astype(np.int64)
-    doc = np.searchsorted(offsets, np.arange(len(anchor)), "right") - 1
-    starts = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[doc + 1])  # windows inside one text
+    doc = np.searchsorted(offsets, np.arange(base, base + len(anchor)), "right") - 1
+    starts = np.flatnonzero(np.arange(base, base + len(anchor)) + length <= offsets[doc + 1])  # windows inside one text
     if not len(starts):
         return none
     a, d = anchor[starts], doc[starts]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
     lo, hi, a, d = starts[first], starts[np.append(first[1:], len(starts)) - 1], a[first], d[first]
     shape = (a - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)
-    return {"doc": d, "at": a, "lo": lo, "hi": hi, "g": g[a], "s": B.mix(hashes.of(lo, hi + length) ^ B.mix(shape))}
+    return {"doc": d, "lo": lo + base, "hi": hi + base, "g": g[a], "s": B.mix(hashes.of(lo, hi + length) ^ B.mix(shape))}
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:

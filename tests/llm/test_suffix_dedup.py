@@ -54,5 +54,18 @@ def test_against_brute_force(spark, hot, monkeypatch):
     assert got == sorted(map(repr, S.brute_force(rows)))
 
 
+def test_anchors_meet_and_tile():
+    r = random.Random(3)
+    t = bytes(r.choice(b"abc") for _ in range(3000))
+    texts = [t, b"Z" * 50 + t[500:1500], b"q" * 99, b"q" * 400, b""]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    for chunk in (1 << 20, 777, 64):
+        x = S.anchors(data, offsets, chunk=chunk)
+        windows = [w for lo, hi in zip(x["lo"], x["hi"], strict=True) for w in range(lo, hi + 1)]
+        assert windows == [a + i for a, t in zip(offsets, texts, strict=False) for i in range(len(t) - S.LENGTH + 1)]
+        owner = {w: g for g, lo, hi in zip(x["g"].tolist(), x["lo"].tolist(), x["hi"].tolist(), strict=True) for w in range(lo, hi + 1)}
+        assert all(owner[offsets[1] + 50 + i] == owner[500 + i] for i in range(900))
+
+
 def test_empty(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
