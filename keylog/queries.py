@@ -167,6 +167,21 @@ def _log_replay(s, d):
     return as_text(resolve.live(logs.replay(logs.decode_frame(raw))))
 
 
+def _log_dump(s, d):
+    """Twenty records of the binary format as a table for people, the last one cut off."""
+    e = events_log(s, d).orderBy("seq").limit(20).collect()
+    data = logs.encode([(bytes(r.key), None if r.is_delete else bytes(r.value) + b" and a long tail") for r in e])
+    raw = s.createDataFrame([("000.log", bytearray(data[:-1]))], "path string, content binary")
+    return logs.dump(logs.decode_frame(raw)).drop("path")
+
+
+def _csv(s, d):
+    """Samples through the CSV sink and back."""
+    path = scratch(s, "samples")
+    stats.write_samples(_samples(s, d), path)
+    return stats.read_summary(s, path, "op string, latency_ns long").groupBy("op").agg(F.count("*").alias("n"), F.sum("latency_ns").alias("total_ns"))
+
+
 def _bloom(s, d):
     log = events_log(s, d)
     f = BloomFilter.of(log, "key")
@@ -257,6 +272,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_store_runs": _store_runs,
     "kv_stream_ingest": _stream_live,
     "wal_replay": _log_replay,
+    "wal_dump": _log_dump,
+    "bench_csv": _csv,
     "bench_percentile": lambda s, d: stats.percentile_frame(s.read.parquet(f"{d}/events.parquet"), ["event_type"], "value", [50.0, 90.0, 99.0]),
     "bench_percentile_exact": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(stats.percentile("value", 99).alias("p99")),
     "bench_summary": lambda s, d: stats.summary(_samples(s, d)),
@@ -307,6 +324,8 @@ ORACLE_SQL: dict[str, str] = {
     "kv_store_runs": f"WITH {F2} SELECT 0 AS level, min(key) AS min_key, max(key) AS max_key, count(*) AS rows, sum(strlen(key) + coalesce(strlen(value), 0))::BIGINT AS bytes, (seq + 1)::BIGINT AS min_seq, (seq + 1)::BIGINT AS max_seq, count(*) FILTER (is_delete) AS n_tombstones FROM f2 GROUP BY seq",
     "kv_stream_ingest": LIVE1,
     "wal_replay": LIVE1,
+    "wal_dump": f"WITH {F1}, z AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, * FROM f1 ORDER BY seq LIMIT 20) SELECT idx, CASE WHEN is_delete THEN 'DELETE' ELSE 'PUT' END AS op, key, CASE WHEN is_delete THEN NULL ELSE substr(value || ' and a long tail', 1, 20) || '...' END AS value FROM z WHERE idx < 19",
+    "bench_csv": f"WITH {SAMPLES} SELECT op, count(*) AS n, sum(latency_ns)::BIGINT AS total_ns FROM s GROUP BY op",
     "bench_percentile": "WITH v AS (SELECT event_type, list_sort(list(value)) AS x FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, p, x[CAST(floor(p / 100.0 * (len(x) - 1)) AS BIGINT) + 1] AS value FROM v, (VALUES (50.0::DOUBLE), (90.0), (99.0)) t(p)",
     "bench_percentile_exact": "SELECT event_type, list_sort(list(value))[CAST(floor(0.99 * (count(value) - 1)) AS BIGINT) + 1] AS p99 FROM events GROUP BY 1",
     "bench_summary": f"WITH {SAMPLES} SELECT impl, workload, floor(count(*) / 2.5)::BIGINT AS throughput, {', '.join(_pct(o, p) for o in ('read', 'write') for p in (50, 99))} FROM s GROUP BY impl, workload",
