@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -47,17 +48,31 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/keylog/{tag}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage at files that outlive any executor, so nothing above is
-    computed twice and a lost executor costs only its own running tasks.
+    computed twice and a lost executor costs only its own running tasks. free: a
+    step with a large shuffle, whose files are to go at once.
     """
+    bounded_batches(df.sparkSession)
     path = scratch(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done.
+
+    It does so once the JVM's collector has seen that nothing refers to them, which a
+    quiet driver can put off for the whole of a job with many steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a ``saved`` frame that is needed no more."""
     jvm = df.sparkSession._jvm

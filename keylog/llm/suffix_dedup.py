@@ -285,7 +285,7 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame({"kind": kind, "rid": np.concatenate([rest[0], rid[c]]), "start": np.concatenate([rest[1], lo[c]]), "end": np.concatenate([rest[2], hi[c]]), "g": np.concatenate([np.zeros(len(rest[0]), dtype=np.int64), g[c].astype(np.int64)])})
 
     packed = _numbered(docs).mapInArrow(gather, "part int, g binary, s binary, doc binary, rid binary, lo binary, hi binary")
-    return saved(packed.groupBy("part").applyInPandas(meet, "kind byte, rid long, start long, end long, g long"), "met")
+    return saved(packed.groupBy("part").applyInPandas(meet, "kind byte, rid long, start long, end long, g long"), "met", free=True)
 
 
 def contested_repeats(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
@@ -325,7 +325,7 @@ def contested_repeats(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame(dict(zip(("rid", "start", "end"), spans, strict=True)))
 
     dealt = rows.mapInArrow(deal, "part int, hot boolean, doc long, rid long, start long, windows int, text binary")
-    return saved(dealt.groupBy("part", "hot").applyInPandas(sort, "rid long, start long, end long"), "contested")
+    return saved(dealt.groupBy("part", "hot").applyInPandas(sort, "rid long, start long, end long"), "contested", free=True)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     met = met_spans(docs, parts)
     extra = contested_repeats(docs, met, parts)
     spans = local_repeats(docs).unionByName(met.where("kind = 0").select("rid", "start", "end")).unionByName(extra)
-    by_doc = saved(spans.groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+    by_doc = saved(spans.groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans", free=True)
     drop_saved(met)
     rows = _numbered(docs).join(by_doc, "rid", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -362,6 +362,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM d),
+w AS (SELECT doc_id, i, CASE WHEN 2 * i + {2 * LENGTH} <= len(h) THEN substr(h, 2 * i + 1, {2 * LENGTH}) END AS k, substr(h, 2 * i + 1, 2) AS x FROM b),
+r AS (SELECT doc_id, i, x, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM w),
+c AS (SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     """The same result by a dictionary of all windows, for tests."""
     texts = [(t or "").encode() for _, t in rows]
