@@ -8,14 +8,18 @@ their Jaccard similarity reaches the threshold. Steps, each a shuffle of packed
    hash first, frequent ones after them by frequency.
 2. Each document's set is hashed to a class; documents with equal sets are one class
    and are joined once. Of each class the first n - ceil(t n) + 1 grams in the
-   global order are indexed: linked classes share one of those.
+   global order are indexed, and the first n - ceil(2 t / (1 + t) n) + 1 of them are marked:
+   linked classes share one of those that is marked in the smaller set.
 3. Candidates from the index. Small postings give all their pairs. Larger ones give, per
-   band of set sizes, pairs with one leader only.
+   band of set sizes, pairs with one leader only; each posting draws its own.
 4. Overlaps, *vertically*: the global gram range is cut into fragments; each pair's
-   overlap is counted in every fragment separately and summed per pair.
+   overlap is counted in every fragment separately and summed per pair. The first
+   fragments are counted for all pairs, further ones only for pairs that can still reach the
+   threshold if all their uncounted grams agree.
 5. Links give components. In postings that still span several components, the pairs of
-   different components are made, but for those that the triangle inequality of the Jaccard
-   distance rules out by their distances to the leader; they go through 4 as well.
+   different components are made, but for those that the places of their common gram rule out (too
+   few grams follow it), or the triangle inequality of the Jaccard distance by their
+   distances to the leader. They go through 4 as well.
    So no link between different components is lost, and the many links inside a large group
    of near copies are never made.
 
@@ -45,6 +49,7 @@ OFTEN = 16  #: a gram in more documents than this may be called frequent
 MOST_FREQUENT = 1_000_000  #: bound of the list of frequent grams (12 MB)
 SMALL = 4  #: postings up to this length give all their pairs
 FRAGMENTS = 8
+STAGES = ((0, 1, 2), (3, 4, 5, 6, 7))  #: fragments counted together; pairs are pruned in between
 FLUSH = 2_000_000  #: grams a task gathers before it passes them on
 BROADCAST_IDS = 1_000_000  #: ids are broadcast up to this many, else joined by a shuffle
 
@@ -111,7 +116,7 @@ def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> tu
         k = c > OFTEN
         return pd.DataFrame({"halves": [x[cuts[k]].astype("<u4").tobytes()], "counts": [c[k].astype("<u4").tobytes()], "over": [[int((c > OFTEN << j).sum()) for j in range(40)]]})
 
-    counted = saved(docs.select(whole_text().alias("text")).mapInArrow(gather, "part int, halves binary").groupBy("part").applyInPandas(count, "halves binary, counts binary, over array<long>"), "frequent")
+    counted = saved(docs.select(whole_text().alias("text")).mapInArrow(gather, "part int, halves binary").groupBy("part").applyInPandas(count, "halves binary, counts binary, over array<long>"), "frequent", free=True)
     over = counted.agg(*(F.sum(F.col("over")[j]).alias(f"o{j}") for j in range(40))).collect()[0]
     least = next((OFTEN << j for j in range(40) if (over[j] or 0) <= most), OFTEN << 40)
 
@@ -159,10 +164,40 @@ def members(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int = N
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, c long, n int, prefix binary"), "members")
 
 
+def reachable(na: np.ndarray, nb: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can link whose first common gram leaves them so many grams from it on.
+
+    True links pass where their first common gram is indexed, so this may be asked of any common gram.
+    """
+    most = np.minimum(rest_a, rest_b)
+    return 100 * most >= percent * (na + nb - most)
+
+
+def leaders(n: np.ndarray, marked: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """For the members of a posting, by size: each one's leader, as places in the posting.
+
+    A leader is a marked member drawn by ``seed``; it takes all open members that it may link with by
+    size and marks, and so on until no marked member is open. Members that nobody takes lead themselves.
+    """
+    out, open_ = np.arange(len(n)), np.ones(len(n), dtype=bool)
+    while True:
+        left = np.flatnonzero(open_ & marked)
+        if not len(left):
+            return out
+        seed = (seed * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        at = left[(seed >> 33) % len(left)]
+        low, high = np.minimum(n, n[at]), np.maximum(n, n[at])
+        take = open_ & (low * 100 >= percent * high) & ((n >= n[at]) | marked)
+        take[at] = True
+        out[take] = at
+        open_ &= ~take
+
+
 def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
-    """(kind, g, a, b, na, nb) from members: kind 0, a pair to check; kind 1, a in posting g has leader b."""
+    """(kind, g, a, b, na, nb, marked, rest) from members: kind 0, a pair to check; kind 1, b in posting g has leader a."""
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
-    entry = np.dtype([("g", "<u4"), ("n", "<u4"), ("c", "<i8")])
+    entry = np.dtype([("g", "<u4"), ("n", "<u4"), ("rest", "<u4"), ("c", "<i8")])  # rest: the set's grams from this one on
+    mark = np.uint32(1 << 31)  # set in n: the gram is among those that the smaller set of a link must share
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -184,8 +219,12 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame
         p = _part_of(g >> np.uint64(32), parts)
         x = np.empty(len(g), dtype=entry)
         x["g"] = B.mix(g) >> np.uint64(32)  # inside a range, 32 bits tell grams apart well enough to propose pairs
-        x["n"] = np.repeat([n for n, _ in held.values()], k)
+        n = np.array([n for n, _ in held.values()], dtype=np.int64)
+        marked = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+        place = np.arange(len(g)) - np.repeat(np.cumsum(k) - k, k)
+        x["n"] = np.repeat(n, k).astype(np.uint32) | np.where(place < np.repeat(marked, k), mark, np.uint32(0))
         x["c"] = np.repeat(np.fromiter(held, dtype=np.int64, count=len(held)), k)
+        x["rest"] = np.repeat(n, k) - place
         order = np.argsort(p, kind="stable")
         p, x = p[order], x[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
@@ -193,12 +232,14 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(b, dtype=entry) for b in pdf["data"]])
-        x = x[np.lexsort((x["c"], x["n"], x["g"]))]
-        same = np.concatenate([[False], (x["g"][1:] == x["g"][:-1]) & (x["c"][1:] == x["c"][:-1])])
-        x = x[~same]
+        n, flag = (x["n"] & ~mark).astype(np.int64), x["n"] >= mark
+        order = np.lexsort((x["c"], ~flag, n, x["g"]))
+        x, n, flag = x[order], n[order], flag[order]
+        once = np.concatenate([[True], (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1])])
+        x, n, flag = x[once], n[once], flag[once]
         first = np.flatnonzero(np.concatenate([[True], x["g"][1:] != x["g"][:-1]]))
         length = np.diff(np.append(first, len(x)))
-        left, right, kinds, posts = [], [], [], []
+        left, right = [], []
         for d in range(1, SMALL):  # all pairs of small postings
             for s in range(SMALL - d):
                 f = first[(length <= SMALL) & (length > s + d)]
@@ -207,78 +248,90 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame
         small = np.concatenate(left), np.concatenate(right)
         lead, follow = [], []
         for f, k in zip(first[length > SMALL], length[length > SMALL], strict=True):
-            n = x["n"][f : f + k].astype(np.int64)
-            at = 0
-            while at < k:  # a leader for each band of sizes it can link with
-                end = int(np.searchsorted(n, n[at] * 100 // percent, "right"))
-                lead.append(np.full(end - at, f + at))
-                follow.append(np.arange(f + at, f + end))
-                at = end
+            lead.append(f + leaders(n[f : f + k], flag[f : f + k], int(x["g"][f]), percent))
+            follow.append(np.arange(f, f + k))
         a = np.concatenate([small[0], *lead]).astype(np.int64)
         b = np.concatenate([small[1], *follow]).astype(np.int64)
         kinds = np.concatenate([np.zeros(len(small[0]), dtype=np.int8), np.ones(len(a) - len(small[0]), dtype=np.int8)])
-        ok = x["n"][a].astype(np.int64) * 100 >= percent * x["n"][b].astype(np.int64)
+        rest = x["rest"].astype(np.int64)
+        ok = (kinds == 1) | flag[a] & reachable(n[a], n[b], rest[a], rest[b], percent)  # a is the smaller set here
         a, b, kinds = a[ok], b[ok], kinds[ok]
-        out = pd.DataFrame({"kind": kinds, "g": (int(pdf["part"].iloc[0]) << 32) + x["g"][b].astype(np.int64), "a": x["c"][a], "b": x["c"][b], "na": x["n"][a].astype(np.int32), "nb": x["n"][b].astype(np.int32)})
-        once = out[out["kind"] == 0].drop_duplicates(["a", "b"])
-        stars = out[(out["kind"] == 1) & (out["a"] != out["b"])].drop_duplicates(["a", "b"]).assign(kind=0)
-        once = pd.concat([once, stars]).drop_duplicates(["a", "b"])
-        posts = out[out["kind"] == 1].rename(columns={"a": "b", "b": "a", "na": "nb", "nb": "na"})
-        return pd.concat([once, posts])[["kind", "g", "a", "b", "na", "nb"]]
+        out = pd.DataFrame({"kind": kinds, "g": (int(pdf["part"].iloc[0]) << 32) + x["g"][b].astype(np.int64), "a": x["c"][a], "b": x["c"][b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "marked": flag[b], "rest": rest[b].astype(np.int32)})
+        posts = out[out["kind"] == 1]
+        # Leaders meet all their members, reachable or not: the distances are used in step 5.
+        pairs = pd.concat([out[out["kind"] == 0], posts[posts["a"] != posts["b"]].assign(kind=0)])
+        swap = pairs["a"] > pairs["b"]  # a pair is found from either side, but named once
+        pairs = pairs.assign(**{x: pairs[x].where(~swap, pairs[y]) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))}).drop_duplicates(["a", "b"])
+        return pd.concat([pairs, posts])
 
     packed_rows = rows.select("c", "n", "prefix").mapInArrow(gather, "part int, data binary")
-    return saved(packed_rows.groupBy("part").applyInPandas(pair_up, "kind byte, g long, a long, b long, na int, nb int"), "candidates")
+    return saved(packed_rows.groupBy("part").applyInPandas(pair_up, "kind byte, g long, a long, b long, na int, nb int, marked boolean, rest int"), "candidates", free=True)
 
 
-def segments(docs: DataFrame, classes: DataFrame, n: int = N, fragments: int = FRAGMENTS) -> DataFrame:
-    """(c, fragment, grams) for the classes (c, rep): each set cut at fixed places of the global gram range."""
+def segments(docs: DataFrame, classes: DataFrame, n: int = N, which: tuple[int, ...] = STAGES[0], fragments: int = FRAGMENTS) -> DataFrame:
+    """(c, f0, f1, ..) for the classes (c, rep): each set cut at fixed places of the global gram range, some of the fragments.
+
+    Rows with a repeated doc_id give a class's segments more than once.
+    """
     ids = classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     few = classes.count() <= BROADCAST_IDS
     wanted = d.join(F.broadcast(ids.distinct()) if few else ids.distinct(), "doc_id", "left_semi")
     if classes.where("rep is null").limit(1).count():
         wanted = wanted.unionByName(d.where("doc_id is null"))
-    schema = pa.schema([("c", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("c", pa.int64()), *((f"f{k}", pa.list_(pa.int64())) for k in which)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cs, fs, starts, parts = [], [], [0], []
+            cs, columns = [], [([0], []) for _ in which]
             for g in gram_sets(batch.column(0), n):
                 if len(g):
-                    c = class_of(g)
+                    cs.append(class_of(g))
                     f = (g >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
                     cuts = np.searchsorted(f, np.arange(fragments + 1))
-                    for k in range(fragments):
-                        if cuts[k + 1] > cuts[k]:
-                            cs.append(c)
-                            fs.append(k)
-                            starts.append(starts[-1] + int(cuts[k + 1] - cuts[k]))
-                    parts.append(g)
-            flat = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(fs, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat)], schema=schema)
-
-    rows = wanted.select("text").mapInArrow(run, "c long, fragment int, grams array<long>")
+                    for (starts, parts), k in zip(columns, which, strict=True):
+                        starts.append(starts[-1] + int(cuts[k + 1] - cuts[k]))
+                        parts.append(g[cuts[k] : cuts[k + 1]])
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]).view(np.int64))) for starts, parts in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), *lists], schema=schema)
+
+    rows = wanted.select("text").mapInArrow(run, "c long, " + ", ".join(f"f{k} array<long>" for k in which))
     wanted_c = classes.select("c")
-    return rows.join(F.broadcast(wanted_c) if few else wanted_c, "c", "left_semi").groupBy("c", "fragment").agg(F.first("grams").alias("grams"))
-
-
-def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int = N) -> DataFrame:
-    """pairs (a, b, na, nb) with ``common``, the grams of both: counted by fragment, summed by pair."""
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    involved = saved(classes.join(ends, "c", "left_semi"), "involved")
-    seg = saved(segments(docs, involved, n), "segments")
-    right = seg.select(F.col("c").alias("b"), "fragment", F.col("grams").alias("gb"))
-    left = seg.select(F.col("c").alias("a"), F.col("fragment").alias("fa"), F.col("grams").alias("ga"))
-    # Each pair meets b's segments first; only those travel on to a's.
-    x = pairs.join(right, "b").join(left, (pairs["a"] == left["a"]) & (F.col("fragment") == F.col("fa"))).drop(left["a"])
-    partial = x.select(pairs["a"], "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
-    out = saved(partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("common")), "overlaps")
-    drop_saved(seg)
-    return out
+    return rows.join(F.broadcast(wanted_c) if few else wanted_c, "c", "left_semi")
+
 
+def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(a, b, linked, nearest, farthest) of pairs (a, b, na, nb): whether they link, and bounds of their Jaccard distance.
 
-def linked(common: DataFrame, percent: int = PERCENT) -> DataFrame:
-    return common.where(f"100 * common >= {percent} * (na + nb - common)")
+    Fragments are counted separately and summed by pair, stage by stage.
+    """
+    zero = F.lit(0).cast("long")
+    todo = pairs.select("a", "b", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), zero.alias("common"), zero.alias("sa"), zero.alias("sb"))
+    out = None
+    for which in STAGES:
+        ends = todo.select(F.col("a").alias("c")).unionByName(todo.select(F.col("b").alias("c"))).distinct()
+        involved = saved(classes.join(ends, "c", "left_semi"), "involved")
+        seg = saved(segments(docs, involved, n, which), "segments", free=True)
+        right = seg.select(F.col("c").alias("b"), *(F.col(f"f{j}").alias(f"b{j}") for j in which))
+        left = seg.select(F.col("c").alias("a"), *(F.col(f"f{j}").alias(f"a{j}") for j in which))
+        # Each pair meets b's segments first; only those travel on to a's.
+        x = todo.join(right, "b").join(left, "a")
+        key = ["a", "b", "na", "nb", "common", "sa", "sb"]
+        counts = [F.size(F.array_intersect(f"a{j}", f"b{j}")) for j in which]  # every fragment by itself
+        total = lambda cols: sum(cols[1:], cols[0]).cast("long")
+        k = x.select(*key, total(counts).alias("k"), total([F.size(f"a{j}") for j in which]).alias("la"), total([F.size(f"b{j}") for j in which]).alias("lb"))
+        k = k.groupBy(*key).agg(*(F.max(c).alias(c) for c in ("k", "la", "lb")))  # repeated rows of a class count once
+        k = k.select("a", "b", "na", "nb", (F.col("common") + F.col("k")).alias("common"), (F.col("sa") + F.col("la")).alias("sa"), (F.col("sb") + F.col("lb")).alias("sb"))
+        k = k.withColumn("most", F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")))
+        k = saved(k.withColumn("can", F.expr(f"100 * most >= {percent} * (na + nb - most)")), "overlaps", free=True)
+        drop_saved(seg)
+        last = which is STAGES[-1]
+        near = 1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))
+        far = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+        done = (k if last else k.where("not can")).select("a", "b", F.col("can").alias("linked"), near.alias("nearest"), far.alias("farthest"))
+        out = done if out is None else out.unionByName(done)
+        todo = k.where("can").drop("most", "can")
+    return out
 
 
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -286,18 +339,20 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
     n_links: links of the row's class that were made (at least those that hold its component together).
     """
-    frequent = frequent_grams(docs, n)
-    rows = members(docs, frequent, n, percent)
+    wide = members(docs, frequent_grams(docs, n), n, percent)
+    found = candidates(wide, _parts(docs), percent)
+    rows = saved(wide.select("doc_id", "c", "n"), "rows")
+    drop_saved(wide)
     classes = saved(rows.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    found = candidates(rows, _parts(docs), percent)
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    common = overlaps(docs, saved(pairs, "pairs"), classes, n)
-    links = saved(linked(common, percent).select("a", "b"), "round1")
+    pairs = saved(found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
+    checked = overlaps(docs, pairs, classes, n, percent)
+    links = saved(checked.where("linked").select("a", "b"), "round1")
     labels = components(links)
-    more = unresolved(found, labels, common, percent)
+    more = unresolved(found, labels, checked, percent)
     if more.limit(1).count():
-        links = saved(links.unionByName(linked(overlaps(docs, more, classes, n), percent).select("a", "b")), "round2")
-        labels = components(links)
+        extra = saved(overlaps(docs, more, classes, n, percent).where("linked").select("a", "b"), "round2")
+        links = links.unionByName(extra)
+        labels = merged(labels, extra)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
@@ -306,45 +361,81 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def unresolved(found: DataFrame, labels: DataFrame, common: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, na, nb) of larger postings that are in different components and may still link."""
-    posts = found.where("kind = 1").select("g", F.col("a").alias("c"), F.col("na").alias("n"), F.col("b").alias("leader"))
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links: only the components that they join are worked on."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    named = links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    named = saved(named, "between")
+    new = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    nodes = labels.unionByName(named.select(F.col("a").alias("node"), F.col("ca").alias("component"))).unionByName(named.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
+    return saved(nodes.join(new.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+
+
+def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, na, nb) of larger postings that are in different components, were not checked, and may still link."""
+    posts = found.where("kind = 1").select("g", F.col("b").alias("c"), F.col("nb").alias("n"), F.col("a").alias("leader"), "marked", "rest")
     posts = posts.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     open_ = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
-    posts = saved(posts.join(saved(open_, "open"), "g", "left_semi"), "postings")
-    far = common.select(F.col("a").alias("leader"), F.col("b").alias("c"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    posts = posts.join(far, ["leader", "c"], "left").withColumn("d", F.when(F.col("leader") == F.col("c"), 0.0).otherwise(F.col("d")))
+    posts = posts.join(saved(open_, "open"), "g", "left_semi")
+    both = checked.select("a", "b", "nearest", "farthest")
+    far = both.select(F.col("a").alias("leader"), F.col("b").alias("c"), "nearest", "farthest").unionByName(both.select(F.col("b").alias("leader"), F.col("a").alias("c"), "nearest", "farthest"))
+    posts = posts.join(far, ["leader", "c"], "left")
+    own = F.col("leader") == F.col("c")
+    posts = posts.withColumns({"nearest": F.when(own, 0.0).otherwise(F.coalesce("nearest", F.lit(0.0))), "farthest": F.when(own, 0.0).otherwise(F.coalesce("farthest", F.lit(1.0)))})
     most = 1 - percent / 100 + 1e-9
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "c"])
-        n, c, comp, lead = (pdf[k].to_numpy() for k in ("n", "c", "component", "leader"))
-        d = pdf["d"].to_numpy(dtype=float)
-        out = []
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, "right"))
-            ok = comp[j] != comp[i]
-            with np.errstate(invalid="ignore"):
-                ok &= ~((lead[j] == lead[i]) & (np.abs(d[j] - d[i]) > most))
-            if ok.any():
-                j = j[ok]
-                out.append(pd.DataFrame({"a": c[i], "b": c[j], "na": n[i], "nb": n[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "na": [], "nb": []}).astype("int64")
-
-    pairs = posts.groupBy("g").applyInPandas(cross, "a long, b long, na int, nb int").distinct()
-    return saved(pairs.join(common.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
+        """All open postings of one hash range."""
+        pdf = pdf.assign(late=~pdf["marked"]).sort_values(["g", "n", "late", "c"])
+        x = {k: pdf[k].to_numpy() for k in pdf.columns}
+        x["n"], x["rest"] = x["n"].astype(np.int64), x["rest"].astype(np.int64)
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], x["g"][1:] != x["g"][:-1]])), [len(pdf)]])
+        found = [pair_up({k: v[s:t] for k, v in x.items()}, s) for s, t in zip(edges[:-1], edges[1:], strict=True)]
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        c, n = x["c"], x["n"]
+        a, b = np.where(c[a] <= c[b], a, b), np.where(c[a] <= c[b], b, a)
+        return pd.DataFrame({"a": c[a], "b": c[b], "na": n[a], "nb": n[b]}).drop_duplicates(["a", "b"])
+
+    def pair_up(x: dict[str, np.ndarray], at: int) -> tuple[np.ndarray, np.ndarray]:
+        n, comp, marked = x["n"], x["component"], x["marked"]
+        lead, rest, near, far = x["leader"], x["rest"], x["nearest"], x["farthest"]
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in np.flatnonzero(marked):
+            j = np.arange(i + 1, np.searchsorted(n, int(n[i]) * 100 // percent, "right"))
+            j = j[(comp[j] != comp[i]) & reachable(n[i], n[j], rest[i], rest[j], percent)]
+            if len(j):
+                j = j[~((lead[j] == lead[i]) & ((near[j] - far[i] > most) | (near[i] - far[j] > most)))]
+                left.append(np.full(len(j), i))
+                right.append(j)
+        return np.concatenate(left) + at, np.concatenate(right) + at
+
+    pairs = posts.withColumn("part", F.shiftright("g", 32)).groupBy("part").applyInPandas(cross, "a long, b long, na int, nb int").distinct()
+    return saved(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents of one row per component: its smallest doc_id's. All columns stay.
+    """The documents whose doc_id is their component's smallest. All columns stay.
 
-    Rows with a null doc_id are kept; of equal rows (same doc_id) of a component's
-    smallest document all would stay, so they are dropped to one by text.
+    Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept with it.
     """
     out = ngram_join(docs, n, percent).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(saved(out, "kept").where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     return kept.select(*docs.columns)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 75 * (m.n + o.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""

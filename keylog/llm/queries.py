@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }

@@ -51,7 +51,7 @@ def corpus(seed):
     return [*rows, (20_001, None), (20_000, ""), (20_002, " \n"), (None, rows[0][1]), (None, "alone by itself"), rows[5], (20_003, "a b"), (20_004, "A  B"), (20_005, "big " * 50_000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as c", "2 as n", "3 as component").repartition(3)
@@ -69,7 +69,7 @@ def test_keep_one_and_empty(spark):
 
 
 def test_components_of_a_chain(spark):
-    n = 300
+    n = 100
     order = list(range(n))
     random.Random(0).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1000, 1000)], "a long, b long")
