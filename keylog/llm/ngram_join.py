@@ -421,11 +421,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The documents whose doc_id is their component's smallest. All columns stay.
 
-    Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept with it.
+    Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept with it. The
+    ids that go are broadcast up to BROADCAST_IDS and joined by a shuffle of the texts beyond.
     """
-    out = ngram_join(docs, n, percent).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(saved(out, "kept").where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    out = ngram_join(docs, n, percent).where("doc_id is not null")
+    kept = out.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    gone = saved(kept.where("not kept").select("doc_id"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 OP4_SQL = r"""
