@@ -36,12 +36,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylog.llm.common import saved, table, whole_text
 
-FIT_ROWS = 10_000  #: bound of the labelled sample
+FIT_ROWS = 6_000  #: bound of the labelled sample
 PREFIXES = (3, 4, 5, 6)  #: lengths of word beginnings
 CHANCE = 0.01  #: chance that any word without meaning enters the vocabulary
 GRADES = 3
@@ -229,7 +230,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         return Sample(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=bool), np.array([], dtype=object))
     w, c = got["w"].combine_chunks(), got["c"].combine_chunks()
     words_ = w.flatten().dictionary_encode()
-    whole = Sample(np.asarray(w.offsets) - w.offsets[0].as_py(), np.asarray(words_.indices), np.asarray(c.flatten()), np.asarray(got["toxic"]), np.array(words_.dictionary.to_pylist(), dtype=object))
+    codes, sizes = np.asarray(words_.indices), np.diff(np.asarray(w.offsets))
+    twice = np.bincount(codes, minlength=len(words_.dictionary)) > 1  # features of one text only tell nothing
+    at = twice[codes]
+    rows_ = np.repeat(np.arange(len(sizes)), sizes)[at]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows_, minlength=len(sizes)))])
+    names = np.array(words_.dictionary.filter(pa.array(twice)).to_pylist(), dtype=object)
+    whole = Sample(starts, (np.cumsum(twice) - 1)[codes[at]], np.asarray(c.flatten())[at], np.asarray(got["toxic"]), names)
     h = np.asarray(got["h"])
     return whole.only(np.concatenate([[True], h[1:] != h[:-1]]))
 
