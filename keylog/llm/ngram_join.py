@@ -16,8 +16,8 @@ their Jaccard similarity reaches the threshold. Steps, each a shuffle of packed
    overlap is counted in every fragment separately and summed per pair. The first
    fragments are counted for all pairs, further ones only for pairs that can still reach the
    threshold if all their uncounted grams agree.
-5. Links give components. In postings that still span several components, the pairs of
-   different components are made, but for those that the places of their common gram rule out (too
+5. Links give components. Postings that still span several components draw leaders once
+   more; in what then is open, the pairs of different components are made, but for those that the places of their common gram rule out (too
    few grams follow it), or the triangle inequality of the Jaccard distance by their
    distances to the leader. They go through 4 as well.
    So no link between different components is lost, and the many links inside a large group
@@ -348,11 +348,14 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     checked = overlaps(docs, pairs, classes, n, percent)
     links = saved(checked.where("linked").select("a", "b"), "round1")
     labels = components(links)
-    more = unresolved(found, labels, checked, percent)
-    if more.limit(1).count():
-        extra = saved(overlaps(docs, more, classes, n, percent).where("linked").select("a", "b"), "round2")
-        links = links.unionByName(extra)
-        labels = merged(labels, extra)
+    for star in (True, False):
+        more = unresolved(found, labels, checked, star, percent)
+        if more.limit(1).count():
+            extra = saved(overlaps(docs, more, classes, n, percent), "checked")
+            checked = checked.unionByName(extra)
+            new = extra.where("linked").select("a", "b")
+            links = links.unionByName(new)
+            labels = merged(labels, new)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
@@ -372,8 +375,11 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(nodes.join(new.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
-def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, na, nb) of larger postings that are in different components, were not checked, and may still link."""
+def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bool, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, na, nb) of larger postings that are in different components, were not checked, and may still link.
+
+    star: only pairs with leaders newly drawn, which leave fewer pairs to the full round.
+    """
     posts = found.where("kind = 1").select("g", F.col("b").alias("c"), F.col("nb").alias("n"), F.col("a").alias("leader"), "marked", "rest")
     posts = posts.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     open_ = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
@@ -399,6 +405,10 @@ def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, percent:
 
     def pair_up(x: dict[str, np.ndarray], at: int) -> tuple[np.ndarray, np.ndarray]:
         n, comp, marked = x["n"], x["component"], x["marked"]
+        if star:
+            b = np.arange(len(n))
+            a = leaders(n, marked, int(x["g"][0]) + (1 << 40), percent)
+            return a[comp[a] != comp[b]] + at, b[comp[a] != comp[b]] + at
         lead, rest, near, far = x["leader"], x["rest"], x["nearest"], x["farthest"]
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in np.flatnonzero(marked):
