@@ -8,7 +8,7 @@ and in a long text.
 
 The vocabulary holds those whose share of toxic texts in the fitting part is
 higher than chance allows: a binomial test with Bonferroni's correction over all
-words tried, near-equal texts counting once. Labels are only toxic or not, so grades
+words tried, near copies with the same label counting once. Labels are only toxic or not, so grades
 are derived there too: toxic texts with more vocabulary words than the median of
 those that have any are grade 2, other toxic ones grade 1. Weights and thresholds
 are fitted by accelerated proximal gradient with an L1 penalty; the rejection
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylog.llm import bytewords as B
 from keylog.llm.common import saved, table, whole_text
 
 FIT_ROWS = 6_000  #: bound of the labelled sample
@@ -47,6 +48,8 @@ PREFIXES = (3, 4, 5, 6)  #: lengths of word beginnings
 CHANCE = 0.01  #: chance that any word without meaning enters the vocabulary
 GRADES = 3
 PENALTY = 2e-4
+NEAR = 0.8  #: Jaccard similarity of the features from which on texts are near copies
+HASHES, LIKELY = 64, 0.6  #: min-hashes, and the share of equal ones from which on the similarity is computed
 COST = 3  #: a clean text rejected weighs as much as so many toxic ones kept
 SCORES = "doc_id long, severity double, p_toxic double, grade int, rejected boolean"
 
@@ -134,6 +137,7 @@ class Sample:
     counts: np.ndarray
     toxic: np.ndarray
     names: np.ndarray
+    sizes: np.ndarray  # features of each whole text, those of one text only included
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.toxic)), np.diff(self.starts))
@@ -141,21 +145,43 @@ class Sample:
     def only(self, keep: np.ndarray) -> Sample:
         """The rows with ``keep``."""
         sizes, at = np.diff(self.starts), keep[self.rows()]
-        return Sample(np.concatenate([[0], np.cumsum(sizes[keep])]), self.codes[at], self.counts[at], self.toxic[keep], self.names)
+        return Sample(np.concatenate([[0], np.cumsum(sizes[keep])]), self.codes[at], self.counts[at], self.toxic[keep], self.names, self.sizes[keep])
 
     def per_name(self, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.codes, weights, minlength=len(self.names))
 
 
+def signatures(x: Sample) -> np.ndarray:
+    """Min-hashes of the features of every text."""
+    hashes = np.fromiter((zlib.crc32(w.encode()) for w in x.names), dtype=np.uint64, count=len(x.names))
+    some = np.flatnonzero(np.diff(x.starts))
+    out = np.zeros((len(x.toxic), HASHES), dtype=np.uint32)
+    for j in range(HASHES if len(some) else 0):
+        mixed = (B.mix(hashes + np.uint64((j + 1) << 32)) >> np.uint64(32)).astype(np.uint32)
+        out[some, j] = np.minimum.reduceat(mixed[x.codes], x.starts[some])
+    return out
+
+
 def distinct(x: Sample) -> Sample:
-    """One of each group of near-equal texts: those that share the least hash among their rarer features."""
-    n = len(x.toxic)
-    rare = x.per_name() <= max(3, n // 50)
-    hashes = np.fromiter((zlib.crc32(w.encode()) for w in x.names), dtype=np.int64, count=len(x.names))
-    key = np.full(n, 1 << 40) + np.arange(n)
-    np.minimum.at(key, x.rows()[rare[x.codes]], hashes[x.codes[rare[x.codes]]])
-    keep = np.zeros(n, dtype=bool)
-    keep[np.unique(key, return_index=True)[1]] = True
+    """Without near copies: texts whose features have a similarity of NEAR to those of an earlier one with the same label.
+
+    Min-hashes propose, the sets decide; all other texts stay.
+    """
+    signs = signatures(x)
+    keep = np.zeros(len(x.toxic), dtype=bool)
+    for label in (False, True):
+        kept, n = np.zeros((int((x.toxic == label).sum()), HASHES), dtype=np.uint32), 0
+        places = np.zeros(len(kept), dtype=np.int64)
+        for i in np.flatnonzero(x.toxic == label):
+            mine = x.codes[x.starts[i] : x.starts[i + 1]]
+            likely = places[:n][(kept[:n] == signs[i]).mean(1) >= LIKELY] if len(mine) else []
+            for j in likely:
+                common = len(np.intersect1d(mine, x.codes[x.starts[j] : x.starts[j + 1]], assume_unique=True))
+                if common >= NEAR * (x.sizes[i] + x.sizes[j] - common):
+                    break
+            else:
+                keep[i], kept[n], places[n] = True, signs[i], i
+                n += 1
     return x.only(keep)
 
 
@@ -227,7 +253,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     got = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic")).mapInPandas(count, "h string, toxic boolean, w array<string>, c array<int>").toArrow()
     got = got.sort_by([("h", "ascending"), ("toxic", "descending")]).combine_chunks()
     if not len(got):
-        return Sample(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=bool), np.array([], dtype=object))
+        return Sample(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=bool), np.array([], dtype=object), np.zeros(0, dtype=int))
     w, c = got["w"].combine_chunks(), got["c"].combine_chunks()
     words_ = w.flatten().dictionary_encode()
     codes, sizes = np.asarray(words_.indices), np.diff(np.asarray(w.offsets))
@@ -236,7 +262,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     rows_ = np.repeat(np.arange(len(sizes)), sizes)[at]
     starts = np.concatenate([[0], np.cumsum(np.bincount(rows_, minlength=len(sizes)))])
     names = np.array(words_.dictionary.filter(pa.array(twice)).to_pylist(), dtype=object)
-    whole = Sample(starts, (np.cumsum(twice) - 1)[codes[at]], np.asarray(c.flatten())[at], np.asarray(got["toxic"]), names)
+    whole = Sample(starts, (np.cumsum(twice) - 1)[codes[at]], np.asarray(c.flatten())[at], np.asarray(got["toxic"]), names, sizes)
     h = np.asarray(got["h"])
     return whole.only(np.concatenate([[True], h[1:] != h[:-1]]))
 

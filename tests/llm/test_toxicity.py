@@ -57,3 +57,17 @@ def test_gradient_fits_ordered_thresholds():
     rows, cols = np.nonzero(x)
     w, theta = X.fit_cumulative(rows, cols, x[rows, cols].astype(float), grades, 3, 1e-4, 2000)
     assert np.allclose(w, [1.5, 0, -1], atol=0.4) and np.allclose(theta, [1, 3], atol=0.6)
+
+
+def test_only_near_copies_with_the_same_label_count_once(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abdefgilmnorstu") for _ in range(r.randrange(4, 9)))
+    common = [word() for _ in range(300)]
+    texts = [" ".join(r.sample(common, 80)) for _ in range(40)]  # unrelated, of common words
+    copy = [texts[0] + " again", texts[1].replace(texts[1].split()[5], "other"), texts[2] + " again"]
+    rows = list(enumerate([*texts, *copy]))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i == 42 or 10 <= i < 20)) for i, _ in rows], "doc_id long, toxic int")
+    all_ = X.labelled_sample(d, lab)
+    left = X.distinct(all_)
+    assert len(all_.toxic) == 43 and len(left.toxic) == 41 and left.toxic.sum() == 11
