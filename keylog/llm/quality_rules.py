@@ -12,8 +12,8 @@ what the rules reject jointly. Among safe cutoffs the one that best separates ba
 is taken. A stratum with too few labels gets no rule: it rejects nothing.
 
 Plan: one pass over the texts writes a narrow table of signals to the shared
-folder; the labelled histogram is a partial aggregate of at most strata x rules
-x 101 rows; the verdict is a projection. No Python runs on executors.
+folder; the labelled histogram is an aggregate on the executors, of which only the
+strata with enough labels for any rule reach the driver; the verdict is a projection. No Python runs on executors.
 
 Edge cases: null text counts as empty (no words, fails the base rule); a null
 language is a stratum of its own; labels that are null are ignored, of repeated
@@ -35,7 +35,6 @@ GRID = 100  #: cutoffs 0, 10, .. 990 per mille
 ALPHA = 0.03  #: most good documents that the rules of a stratum may reject jointly
 DELTA = 0.05  #: chance that any guarantee fails
 COST = 5  #: a good document rejected weighs as much as so many bad ones kept
-MAX_STRATA = 256  #: strata with the most labels; all further ones share one
 
 _WHITE = "' \\t\\n\\u000b\\f\\r'"
 
@@ -92,22 +91,19 @@ def binomial_tail(n: int, k: int, p: float) -> float:
 
 
 def cutoffs(sig: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[int | None]]:
-    """Per stratum the cutoff of each rule in per mille, or None for no rule."""
+    """Per stratum the cutoff of each rule in per mille, or None for no rule; strata with too few good labels for any are left out."""
     lab = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     x = sig.where(~F.col("base_failed")).select("doc_id", "stratum", "scores").join(lab, "doc_id")
     # bin b: the cutoffs 0, 10, .. 10 * (b - 1) reject the document
     x = x.select("stratum", (F.col("quality") > 0).alias("good"), F.posexplode(F.expr("transform(scores, s -> cast(ceil(s / 10.0) as int))")).alias("rule", "bin"))
-    rows = x.groupBy("stratum", "rule", "good", "bin").agg(F.count("*").alias("n")).collect()
-    labelled: dict[str, int] = {}
-    for r in rows:
-        labelled[r.stratum] = labelled.get(r.stratum, 0) + r.n
-    own = set(sorted(labelled, key=lambda s: (-labelled[s], s))[:MAX_STRATA])
-    strata = {s: (s if s in own else None) for s in labelled}
+    bins = saved(x.groupBy("stratum", "rule", "good", "bin").agg(F.count("*").alias("n")), "histogram")
+    good = saved(bins.where("rule = 0").groupBy("stratum").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("n_good")), "good")
+    level = delta / max(1, good.count() * len(RULES))
+    least = math.floor(math.log(level) / math.log1p(-alpha / len(RULES)))  # with fewer no cutoff can be safe, whatever it rejects
     hist: dict = {}
-    for r in rows:
-        h = hist.setdefault((strata[r.stratum], r.rule), [[0] * (GRID + 1), [0] * (GRID + 1)])
+    for r in bins.join(good.where(F.col("n_good") >= least).select("stratum"), "stratum").collect():
+        h = hist.setdefault((r.stratum, r.rule), [[0] * (GRID + 1), [0] * (GRID + 1)])
         h[r.good][min(r.bin, GRID)] += r.n
-    level = delta / max(1, len(set(strata.values())) * len(RULES))
     picked: dict = {}
     for (s, rule), (bad, good) in hist.items():
         n_good, n_bad, best, k_good, k_bad = sum(good), sum(bad), None, 0, 0
@@ -120,7 +116,7 @@ def cutoffs(sig: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
             if gain > 0 and (best is None or gain > best[0]):
                 best = (gain, 10 * g)
         picked.setdefault(s, [None] * len(RULES))[rule] = best and best[1]
-    return {s: picked.get(t, [None] * len(RULES)) for s, t in strata.items()}
+    return picked
 
 
 def verdicts(sig: DataFrame, cuts: dict[str, list[int | None]]) -> DataFrame:

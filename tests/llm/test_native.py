@@ -101,3 +101,12 @@ def test_quality_rules(spark, n):
 def test_binomial_tail():
     assert abs(Q.binomial_tail(10, 2, 0.3) - 0.3827827864) < 1e-9 and Q.binomial_tail(5, 5, 0.1) == 1
     assert 0 < Q.binomial_tail(1_000_000, 4500, 0.005) < 1e-9
+
+
+def test_strata_are_never_pooled(spark):
+    rows = [(i, f"l{i // 4}", False, [500 if i % 4 == 0 else 0] * len(Q.RULES)) for i in range(4000)]
+    rows += [(i, "big", False, [500 if i % 7 == 0 else 0] * len(Q.RULES)) for i in range(4000, 8000)]
+    sig = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, scores array<int>")
+    lab = spark.createDataFrame([(i, int(s[0] == 0)) for i, _, _, s in rows], "doc_id long, quality int")
+    cuts = Q.cutoffs(sig, lab)
+    assert {k for k, v in cuts.items() if any(c is not None for c in v)} == {"big"}  # three good labels guarantee nothing
