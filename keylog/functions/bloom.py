@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SEGMENT = 1 << 23  #: bits that one task sets
+
+
 def geometry(n: int, fpp: float) -> tuple[int, int]:
     """(bits, hashes) for n keys at a false-positive rate."""
     bits = max(8, int(-n * math.log(fpp) / math.log(2) ** 2))
@@ -43,19 +46,33 @@ class BloomFilter:
 
     @classmethod
     def of(cls, df: DataFrame, column: str, fpp: float = 0.01, n: int | None = None) -> BloomFilter:
-        """Built from the true number of distinct keys; partitions make partial filters, which are or-ed."""
+        """Built from the number of distinct keys. Places of bits are dealt out by range, and each range is set by one task,
+
+        which never holds more than its range; the driver gathers the ranges into the one filter that it returns.
+        """
         n = df.agg(F.approx_count_distinct(column)).collect()[0][0] if n is None else n
         out = cls(*geometry(max(int(n * 1.1), 1), fpp))
-        bits, hashes = out.bits, out.hashes
 
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = cls(bits, hashes)
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                own.add(pdf["h1"].to_numpy(), pdf["h2"].to_numpy())
-            yield pd.DataFrame({"data": [own.data.tobytes()]})
-
-        for r in df.where(F.col(column).isNotNull()).select(*cls.hashed(column)).mapInPandas(part, "data binary").toLocalIterator():
-            out.data |= np.frombuffer(bytes(r.data), dtype=np.uint8)
+                at = np.unique(out.places(pdf["h1"].to_numpy(), pdf["h2"].to_numpy()))
+                part = at // np.uint64(SEGMENT)
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                runs = np.split((at % np.uint64(SEGMENT)).astype("<u4"), cuts)
+                yield pd.DataFrame({"part": part[np.concatenate([[0], cuts])].astype(np.int64) if len(at) else [], "places": [r.tobytes() for r in runs] if len(at) else []})
+
+        def join(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = np.zeros(SEGMENT // 8, dtype=np.uint8)
+            for p in pdf["places"]:
+                at = np.frombuffer(p, dtype="<u4")
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [own.tobytes()]})
+
+        hashes = df.where(F.col(column).isNotNull()).select(*cls.hashed(column))
+        for r in hashes.mapInPandas(deal, "part long, places binary").groupBy("part").applyInPandas(join, "part long, data binary").toLocalIterator():
+            a = r.part * (SEGMENT // 8)
+            b = min(a + SEGMENT // 8, len(out.data))
+            out.data[a:b] |= np.frombuffer(bytes(r.data), dtype=np.uint8)[: b - a]
         return out
 
     def may_contain(self, df: DataFrame, column: str, name: str = "may_contain") -> DataFrame:

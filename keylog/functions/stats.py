@@ -2,49 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def percentile(column: str, p: float) -> Column:
-    """The sample at index floor(p / 100 * (n - 1)) of the sorted samples, 0 without samples.
-
-    Meant for groups whose samples fit in one task's memory; ``percentile_frame`` has no such bound.
-    """
-    some = F.sort_array(F.collect_list(column))
-    at = F.floor(F.lit(p / 100.0) * (F.size(some) - 1)).cast("int") + 1
-    return F.when(F.size(some) > 0, F.element_at(some, F.greatest(at, F.lit(1)))).otherwise(F.lit(0.0))
+from keylog.operators.order import running_total
 
 
 def percentile_frame(df: DataFrame, group: list[str], column: str, ps: list[float]) -> DataFrame:
-    """(group.., p, value) by ranks of distinct values: equal samples are counted before the shuffle."""
-    from pyspark.sql import Window
+    """(group.., p, value): the sample at index floor(p / 100 * (n - 1)) of the sorted samples of each group.
 
+    Equal samples are counted before the shuffle, and ranks are running totals dealt out by value, so a group may be of any size.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*group)
-    ranked = counts.withColumn("_hi", F.sum("_n").over(by.orderBy(column))).withColumn("_all", F.sum("_n").over(by))
-    asked = F.explode(F.array(*map(F.lit, [float(p) for p in ps])))
+    ranked = running_total(counts, group, [column], F.col("_n"), "_hi")
+    all_ = ranked.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group)).agg(F.max("_hi").alias("_all"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_g_{c}")), group, F.lit(True))
     at = F.floor(F.col("p") / 100.0 * (F.col("_all") - 1))
-    return ranked.withColumn("p", asked).where((at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_n"))).select(*group, "p", F.col(column).alias("value"))
+    out = ranked.join(all_, same).withColumn("p", F.explode(F.array(*map(F.lit, [float(p) for p in ps]))))
+    return out.where((at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_n"))).select(*group, "p", F.col(column).alias("value"))
 
 
 def summary(samples: DataFrame) -> DataFrame:
-    """Per (impl, workload): throughput, and p50 and p99 of reads and writes in microseconds.
+    """Per (impl, workload): throughput, and p50 and p99 of reads and writes in microseconds, 0 without samples.
 
     samples: (impl, workload, op, latency_ns, elapsed_s).
     """
-    micro = samples.withColumn("us", F.col("latency_ns") / 1000.0)
-    pick = lambda op, p: percentile_of(op, p)
-
-    def percentile_of(op: str, p: float) -> Column:
-        some = F.sort_array(F.collect_list(F.when(F.col("op") == op, F.col("us"))))
-        at = F.floor(F.lit(p / 100.0) * (F.size(some) - 1)).cast("int") + 1
-        return F.when(F.size(some) > 0, F.element_at(some, F.greatest(at, F.lit(1)))).otherwise(F.lit(0.0))
-
-    return micro.groupBy("impl", "workload").agg(
-        F.floor(F.count("*") / F.max("elapsed_s")).cast("long").alias("throughput"),
-        *(pick(op, p).alias(f"{op}_p{p}") for op in ("read", "write") for p in (50, 99)),
-    )
+    by = ["impl", "workload"]
+    whole = samples.groupBy(*by).agg(F.floor(F.count("*") / F.max("elapsed_s")).cast("long").alias("throughput"))
+    found = percentile_frame(samples.select(*by, "op", (F.col("latency_ns") / 1000.0).alias("us")), [*by, "op"], "us", [50.0, 99.0])
+    wide = found.groupBy(*by).agg(*(F.max(F.when((F.col("op") == op) & (F.col("p") == p), F.col("value"))).alias(f"{op}_p{p}") for op in ("read", "write") for p in (50, 99)))
+    picked = (F.coalesce(f"{op}_p{p}", F.lit(0.0)).alias(f"{op}_p{p}") for op in ("read", "write") for p in (50, 99))
+    return whole.join(wide, by, "left").select(*by, "throughput", *picked)
 
 
 def average_runs(runs: DataFrame, metrics: list[str]) -> DataFrame:
@@ -75,10 +65,13 @@ def population(spark: SparkSession, n: int) -> DataFrame:
 
 def workload(spark: SparkSession, n_ops: int, n_keys: int, read_ratio: float, seed: int = 42) -> DataFrame:
     """(i, op, id): each operation's coin and key come from a hash of its number and the seed, so they never depend on partitioning."""
-    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return spark.range(n_ops).select(
-        F.col("id").alias("i"), F.when(share < read_ratio, "read").otherwise("write").alias("op"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_keys)).alias("id"),
-    )
+
+    def draw(s: int) -> Column:
+        text = F.concat_ws(":", F.col("id").cast("string"), F.lit(str(s)))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+    op = F.when(draw(seed) < F.lit(read_ratio * 2.0**32), "read").otherwise("write")
+    return spark.range(n_ops).select(F.col("id").alias("i"), op.alias("op"), (draw(seed + 1) % n_keys).alias("id"))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

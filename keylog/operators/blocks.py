@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keylog.operators.order import running_total
+
 
 def block_index(run: DataFrame, per_block: int) -> DataFrame:
     """(block, first_key, last_key, entries, bytes) for blocks of ``per_block`` entries in key order.
 
-    Entries of one size only: there every block but the last holds the same number.
-    The order number comes from a range-partitioned sort with per-partition offsets,
-    not from a window over everything.
+    Entries of one size only: there every block but the last holds the same number. The order number is a running total
+    over one written copy of the sorted run, so it does not depend on how a plan deals the rows out twice.
     """
-    part = run.repartitionByRange("key").sortWithinPartitions("key").select("key", "value", F.monotonically_increasing_id().alias("_id"))
-    part = part.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
-    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    base = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     size = 8 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    numbered = part.join(base, "_part").withColumn("block", F.expr(f"(_base + _at) div {per_block}"))
-    return numbered.groupBy("block").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("entries"), F.sum(size).alias("bytes"))
+    rows = run.select("key", size.cast("long").alias("size"))
+    numbered = running_total(rows, [], ["key"], F.lit(1).cast("long"), "n").withColumn("block", F.expr(f"(n - 1) div {per_block}"))
+    return numbered.groupBy("block").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("entries"), F.sum("size").alias("bytes"))
 
 
 def run_stats(ops: DataFrame, run: str = "run_id") -> DataFrame:

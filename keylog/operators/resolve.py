@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keylog.operators.order import running_total
+
 
 def latest(ops: DataFrame) -> DataFrame:
     """The newest row of each key, tombstones included.
 
-    One aggregate with map-side combine, so a key with many versions shrinks before
-    the shuffle. A predicate on ``key`` is pushed through it into the scans; one on
+    One sort-based aggregate on either side of the shuffle (binary values cannot be hash-aggregated), so a key
+    with many versions shrinks before it. A predicate on ``key`` is pushed through it into the scans; one on
     ``value`` or ``is_delete`` must stay above, or old versions would reappear.
     """
     top = F.max_by(F.struct("value", "is_delete"), "seq").alias("_top")
@@ -54,5 +56,4 @@ def running_bytes(ops: DataFrame) -> DataFrame:
     size = F.coalesce(F.octet_length("value"), F.lit(0))
     before = F.lag(size).over(Window.partitionBy("key").orderBy("seq"))
     step = ops.select("key", "seq", (size - F.coalesce(before, -F.octet_length("key"))).cast("long").alias("delta"))
-    # A running total has one order; it is meant for one buffer's worth of mutations.
-    return step.withColumn("bytes", F.sum("delta").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_total(step, [], ["seq"], F.col("delta"), "bytes")

@@ -73,12 +73,13 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATALOGUE, "level int, run_id string, bytes long")
 
 
-def _some_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Every id from 0 to 299 as a key: some live, some deleted, some absent."""
-    return spark.range(300).select(F.format_string("user:%08d", "id").cast("binary").alias("key"))
+def _all_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of all users, live or deleted, and as many that are absent."""
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    return users.select(F.explode(F.array("user_id", F.col("user_id") + 50_000_000)).alias("id")).select(F.format_string("user:%08d", "id").cast("binary").alias("key"))
 
 
-KEYS_SQL = "k AS (SELECT printf('user:%08d', i) AS key FROM range(300) t(i))"
+KEYS_SQL = "k AS (SELECT printf('user:%08d', unnest([user_id, user_id + 50000000])) AS key FROM (SELECT DISTINCT user_id FROM events))"
 
 
 def _get(key: str) -> Callable:
@@ -124,7 +125,8 @@ def _store_snapshot(s, d):
 
 
 def _store_multi_get(s, d):
-    keys = s.range(0, 3000, 3).select(F.format_string("order:%010d", "id").cast("binary").alias("key"))
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.explode(F.array("o_orderkey", F.col("o_orderkey") + 10**9)).alias("id"))
+    keys = o.select(F.format_string("order:%010d", "id").cast("binary").alias("key"))
     return as_text(_orders_store(s, d).multi_get(keys))
 
 
@@ -152,27 +154,31 @@ def _stream_live(s, d):
     return as_text(store.table())
 
 
-def _log_replay(s, d):
-    """Export the op-log to the binary format, distribute reading it, replay."""
-    import os
-    import tempfile
+def _store_levels(s, d):
+    """Scores of both strategies and the level that each would merge, from a store's own manifest."""
+    store = _orders_store(s, d)
+    runs, n = store.manifest.read().runs, store.options.num_levels
+    frame = store.runs().select("level", "run_id", "bytes")
+    picks = [(style, strategy.pick(runs, n).output_level) for style, strategy in (("leveled", store.options.strategy()), ("tiered", Tiered(3)))]
+    scores = score_frame(frame, store.options.strategy()).withColumn("style", F.lit("leveled")).unionByName(score_frame(frame, Tiered(3)).withColumn("style", F.lit("tiered")))
+    return scores.join(s.createDataFrame(picks, "style string, to_level int"), "style")
 
-    folder = tempfile.mkdtemp(prefix="keylog-log-")
-    path = os.path.join(folder, "000.log")
-    logs.write_log(events_log(s, d), path)
-    with open(path, "rb") as f:
-        data = f.read()
-    # The bytes travel as a row, so executors need not see the driver's folder.
-    raw = s.createDataFrame([("000.log", bytearray(data))], "path string, content binary")
-    return as_text(resolve.live(logs.replay(logs.decode_frame(raw))))
+
+def _store_level(s, d):
+    """The runs of level 0, and those of a level that holds none."""
+    state = _orders_store(s, d).manifest.read()
+    return s.createDataFrame([(n, r.rows, r.bytes, r.n_tombstones) for n in (0, 1, 99) for r in state.level(n)], "level int, rows long, bytes long, n_tombstones long")
+
+
+def _log_replay(s, d):
+    """Export the op-log to the binary format, read it back, replay; all of it distributed."""
+    return as_text(resolve.live(logs.replay(logs.decode_frame(logs.encode_frame(events_log(s, d))))))
 
 
 def _log_dump(s, d):
-    """Twenty records of the binary format as a table for people, the last one cut off."""
-    e = events_log(s, d).orderBy("seq").limit(20).collect()
-    data = logs.encode([(bytes(r.key), None if r.is_delete else bytes(r.value) + b" and a long tail") for r in e])
-    raw = s.createDataFrame([("000.log", bytearray(data[:-1]))], "path string, content binary")
-    return logs.dump(logs.decode_frame(raw)).drop("path")
+    """The whole log as a table for people; its last record is cut off."""
+    log = events_log(s, d).withColumn("value", F.concat("value", F.lit(b" and a long tail")))
+    return logs.dump(logs.replay(logs.decode_frame(logs.torn(logs.encode_frame(log)))))
 
 
 def _csv(s, d):
@@ -218,16 +224,25 @@ def _pct(op: str, p: int) -> str:
 
 
 def _multi_run(s, d):
-    runs = _samples(s, d).groupBy("impl", "workload", "run").agg(F.floor(F.count("*") / 2.5).cast("long").alias("throughput"), F.avg(F.col("latency_ns") / 1000.0).alias("mean_us"))
-    return runs.groupBy("impl", "workload").agg(F.avg("throughput").alias("throughput_mean"), F.stddev_samp("throughput").alias("throughput_stdev"), F.round(F.avg("mean_us"), 6).alias("us_mean"), F.round(F.stddev_samp("mean_us"), 6).alias("us_stdev"))
+    runs = _samples(s, d).groupBy("impl", "workload", "run").agg(F.floor(F.count("*") / 2.5).cast("long").alias("throughput"), F.avg(F.col("latency_ns") / 1000.0).alias("us"))
+    return stats.average_runs(runs, ["throughput", "us"])
+
+
+N_OPS, N_KEYS = 50_000, 100_000  #: operations of a workload and keys that they draw from
+
+
+def _workloads(s, d):
+    """The operations of every standard mix."""
+    one = [stats.workload(s, N_OPS, N_KEYS, r).withColumn("mix", F.lit(n)) for n, r in stats.MIXES.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
 
 
 def _mix(s, d):
-    """Coins and keys that both engines compute alike: a multiplicative hash of the id."""
-    e = s.read.parquet(f"{d}/events.parquet")
-    coin = (F.col("event_id") * 7919 + 42) % 10007 / 10007.0
-    one = lambda n, r: F.count_if(coin < r).alias(f"reads_{n}")
-    return e.agg(*(one(n, r) for n, r in stats.MIXES.items()), F.count("*").alias("ops"))
+    return _workloads(s, d).groupBy("mix").agg(F.count_if(F.col("op") == "read").alias("reads"), F.count("*").alias("ops"), F.count_distinct("id").alias("keys"))
+
+
+_DRAW = "CAST('0x' || substr(md5(i || ':{}'), 1, 8) AS BIGINT)"
+WORKLOADS = "w AS (SELECT mix, i, CASE WHEN " + _DRAW.format(42) + " < r * 4294967296.0 THEN 'read' ELSE 'write' END AS op, " + _DRAW.format(43) + f" % {N_KEYS} AS id FROM range({N_OPS}) t(i), (VALUES " + ", ".join(f"('{n}', {r}::DOUBLE)" for n, r in stats.MIXES.items()) + ") m(mix, r))"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -237,8 +252,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_get_hit": _get("user:00000003"),
     "kv_get_absent": _get("user:99999999"),
     "kv_get_deleted": lambda s, d: as_text(lookup.get(orders_log(s, d), "order:0000000007")),
-    "kv_multi_get": lambda s, d: as_text(lookup.multi_get(events_log(s, d), _some_keys(s, d))),
-    "kv_contains": lambda s, d: as_text(lookup.contains(events_log(s, d), _some_keys(s, d))),
+    "kv_multi_get": lambda s, d: as_text(lookup.multi_get(events_log(s, d), _all_keys(s, d))),
+    "kv_contains": lambda s, d: as_text(lookup.contains(events_log(s, d), _all_keys(s, d))),
     "kv_scan_all": lambda s, d: as_text(lookup.scan(orders_log(s, d))),
     "kv_scan_range": lambda s, d: as_text(lookup.scan(events_log(s, d), LOW, HIGH)),
     "kv_scan_bounds": lambda s, d: as_text(lookup.scan(orders_log(s, d), "order:0000000100", "order:0000000200")),
@@ -270,15 +285,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_store_multi_get": _store_multi_get,
     "kv_store_buffer": _store_buffer,
     "kv_store_runs": _store_runs,
+    "kv_store_levels": _store_levels,
+    "kv_store_level": _store_level,
     "kv_stream_ingest": _stream_live,
     "wal_replay": _log_replay,
     "wal_dump": _log_dump,
     "bench_csv": _csv,
     "bench_percentile": lambda s, d: stats.percentile_frame(s.read.parquet(f"{d}/events.parquet"), ["event_type"], "value", [50.0, 90.0, 99.0]),
-    "bench_percentile_exact": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(stats.percentile("value", 99).alias("p99")),
+    "bench_percentile_exact": lambda s, d: stats.percentile_frame(s.read.parquet(f"{d}/events.parquet"), ["event_type"], "value", [99.0]).select("event_type", F.col("value").alias("p99")),
     "bench_summary": lambda s, d: stats.summary(_samples(s, d)),
     "bench_multi_run": _multi_run,
     "bench_workload_mix": _mix,
+    "bench_workload": _workloads,
     "bench_population": lambda s, d: stats.population(s, 1000).select("id", "key", "value"),
 }
 
@@ -319,17 +337,20 @@ ORACLE_SQL: dict[str, str] = {
     "kv_store_compacted": LIVE2,
     "kv_store_tiered_scan": f"{LIVE2} AND key BETWEEN 'order:0000000100' AND 'order:0000000900'",
     "kv_store_snapshot": f"WITH {F2}, {_latest('l', '(SELECT * FROM f2 WHERE seq < 2)')} SELECT key, value FROM l",
-    "kv_store_multi_get": f"{L2}, k AS (SELECT printf('order:%010d', i) AS key FROM range(0, 3000, 3) t(i)) SELECT k.key, l.key IS NOT NULL AS found, l.value FROM k LEFT JOIN l ON k.key = l.key AND NOT l.is_delete",
+    "kv_store_multi_get": f"{L2}, k AS (SELECT printf('order:%010d', unnest([o_orderkey, o_orderkey + 1000000000])) AS key FROM orders) SELECT k.key, l.key IS NOT NULL AS found, l.value FROM k LEFT JOIN l ON k.key = l.key AND NOT l.is_delete",
     "kv_store_buffer": f"{LIVE2} AND key NOT IN ('order:0000000001', 'order:0000000002') UNION ALL VALUES ('order:0000000001', 'new'), ('zzz', '')",
     "kv_store_runs": f"WITH {F2} SELECT 0 AS level, min(key) AS min_key, max(key) AS max_key, count(*) AS rows, sum(strlen(key) + coalesce(strlen(value), 0))::BIGINT AS bytes, (seq + 1)::BIGINT AS min_seq, (seq + 1)::BIGINT AS max_seq, count(*) FILTER (is_delete) AS n_tombstones FROM f2 GROUP BY seq",
+    "kv_store_levels": f"WITH {F2}, t AS (SELECT sum(strlen(key) + coalesce(strlen(value), 0)) AS bytes FROM f2), x AS (SELECT 'leveled' AS style, bytes / 65536.0 AS score, bytes > 65536 AS due FROM t UNION ALL SELECT 'tiered', 3 / 3.0, true) SELECT style, 0 AS level, score::DOUBLE AS score, CASE WHEN due THEN 1 ELSE -1 END AS to_level FROM x",
+    "kv_store_level": f"WITH {F2} SELECT 0 AS level, count(*) AS rows, sum(strlen(key) + coalesce(strlen(value), 0))::BIGINT AS bytes, count(*) FILTER (is_delete) AS n_tombstones FROM f2 GROUP BY seq",
     "kv_stream_ingest": LIVE1,
     "wal_replay": LIVE1,
-    "wal_dump": f"WITH {F1}, z AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, * FROM f1 ORDER BY seq LIMIT 20) SELECT idx, CASE WHEN is_delete THEN 'DELETE' ELSE 'PUT' END AS op, key, CASE WHEN is_delete THEN NULL ELSE substr(value || ' and a long tail', 1, 20) || '...' END AS value FROM z WHERE idx < 19",
+    "wal_dump": f"WITH {F1}, z AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, count(*) OVER () AS n, * FROM f1) SELECT idx, CASE WHEN is_delete THEN 'DELETE' ELSE 'PUT' END AS op, key, CASE WHEN is_delete THEN NULL ELSE substr(value || ' and a long tail', 1, 20) || '...' END AS value FROM z WHERE idx < n - 1",
     "bench_csv": f"WITH {SAMPLES} SELECT op, count(*) AS n, sum(latency_ns)::BIGINT AS total_ns FROM s GROUP BY op",
     "bench_percentile": "WITH v AS (SELECT event_type, list_sort(list(value)) AS x FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, p, x[CAST(floor(p / 100.0 * (len(x) - 1)) AS BIGINT) + 1] AS value FROM v, (VALUES (50.0::DOUBLE), (90.0), (99.0)) t(p)",
     "bench_percentile_exact": "SELECT event_type, list_sort(list(value))[CAST(floor(0.99 * (count(value) - 1)) AS BIGINT) + 1] AS p99 FROM events GROUP BY 1",
     "bench_summary": f"WITH {SAMPLES} SELECT impl, workload, floor(count(*) / 2.5)::BIGINT AS throughput, {', '.join(_pct(o, p) for o in ('read', 'write') for p in (50, 99))} FROM s GROUP BY impl, workload",
-    "bench_multi_run": f"WITH {SAMPLES}, r AS (SELECT impl, workload, run, floor(count(*) / 2.5)::BIGINT AS throughput, avg(latency_ns / 1000.0) AS mean_us FROM s GROUP BY ALL) SELECT impl, workload, avg(throughput) AS throughput_mean, stddev_samp(throughput) AS throughput_stdev, round(avg(mean_us), 6) AS us_mean, round(stddev_samp(mean_us), 6) AS us_stdev FROM r GROUP BY ALL",
-    "bench_workload_mix": "SELECT " + ", ".join(f"count(*) FILTER ((event_id * 7919 + 42) % 10007 / 10007.0 < {r}) AS reads_{n}" for n, r in stats.MIXES.items()) + ", count(*) AS ops FROM events",
+    "bench_multi_run": f"WITH {SAMPLES}, r AS (SELECT impl, workload, run, floor(count(*) / 2.5)::BIGINT AS throughput, avg(latency_ns / 1000.0) AS us FROM s GROUP BY ALL) SELECT impl, workload, round_even(avg(throughput), 0) AS throughput_mean, round_even(stddev_samp(throughput), 0) AS throughput_stdev, round_even(avg(us), 2) AS us_mean, round_even(stddev_samp(us), 2) AS us_stdev FROM r GROUP BY ALL",
+    "bench_workload_mix": f"WITH {WORKLOADS} SELECT mix, count(*) FILTER (op = 'read') AS reads, count(*) AS ops, count(DISTINCT id) AS keys FROM w GROUP BY mix",
+    "bench_workload": f"WITH {WORKLOADS} SELECT mix, i, op, id FROM w",
     "bench_population": "SELECT i AS id, printf('key_%020d', i) AS key, rpad(CAST(i AS VARCHAR), 128, 'v') AS value FROM range(1000) t(i)",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylog.functions.crc import crc32c_many
+from keylog.workspace import saved
 
 DELETE = 0xFFFFFFFF
 ENTRIES = "path string, ordinal long, key binary, value binary, is_delete boolean"
@@ -70,6 +71,29 @@ def decode_frame(files: DataFrame, check: bool = True) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 
 
+def encode_frame(df: DataFrame, order: str = "seq") -> DataFrame:
+    """An op-log as files (path, content) of the binary format, whose names are in the order of their records.
+
+    Dealt out by range of ``order``; a file holds the records of one Arrow batch, so no task and not the driver holds a whole log.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, pdf in enumerate(batches):
+            if len(pdf):
+                entries = [(bytes(key), None if gone else bytes(value)) for key, value, gone in zip(pdf["key"], pdf["value"], pdf["is_delete"], strict=True)]
+                yield pd.DataFrame({"path": [f"{pdf['part'].iloc[0]:08d}-{k:08d}.log"], "content": [encode(entries)]})
+
+    rows = df.repartitionByRange(order).sortWithinPartitions(order).select("key", "value", "is_delete", F.spark_partition_id().alias("part"))
+    return saved(rows.mapInPandas(run, "path string, content binary"), "log")
+
+
+def torn(files: DataFrame, lost: int = 1) -> DataFrame:
+    """The files without the last bytes of the last one, as a crash leaves a log."""
+    last = files.agg(F.max("path")).collect()[0][0]
+    cut = F.expr(f"substring(content, 1, length(content) - {lost})")
+    return files.withColumn("content", F.when(F.col("path") == last, cut).otherwise(F.col("content")))
+
+
 def replay(log: DataFrame) -> DataFrame:
     """The op-log of a recovered log: ``seq`` is the order of the records, files by name."""
     first = log.groupBy("path").agg((F.max("ordinal") + 1).alias("n"))
@@ -81,10 +105,10 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def dump(log: DataFrame, width: int = 20) -> DataFrame:
-    """(path, idx, op, key, value) for people: values cut to ``width`` characters."""
+    """(idx, op, key, value) of a replayed log for people: values cut to ``width`` characters."""
     value = F.col("value").cast("string")
     return log.select(
-        "path", F.col("ordinal").alias("idx"), F.when(F.col("is_delete"), "DELETE").otherwise("PUT").alias("op"), F.col("key").cast("string").alias("key"),
+        F.col("seq").alias("idx"), F.when(F.col("is_delete"), "DELETE").otherwise("PUT").alias("op"), F.col("key").cast("string").alias("key"),
         F.when(F.length(value) > width, F.concat(F.substring(value, 1, width), F.lit("..."))).otherwise(value).alias("value"),
     )
 

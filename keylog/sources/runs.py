@@ -17,7 +17,8 @@ def write_run(df: DataFrame, path: str, level: int, *, seq: int | None = None, u
 
     Files do not overlap in key and are sorted, so a range meets few files and row
     groups. The Bloom filter grows with the distinct keys that a row group really has. All statistics are
-    observed while writing: no second pass.
+    observed while writing. Dealing out by range samples the input first: what is costly to compute
+    should be written before.
     """
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
     seen = Observation()

@@ -79,7 +79,7 @@ class Store:
         is checked unless ``unique`` vouches for it. batch_id: a batch with an id that is already committed is skipped.
         """
         state = self.manifest.read()
-        if batch_id is not None and batch_id in state.batches:
+        if batch_id is not None and state.has(batch_id):
             return state
         rows = ops(df, is_delete="is_delete" if "is_delete" in df.columns else False, seq=order)
         if order is not None:
@@ -103,9 +103,9 @@ class Store:
         run = write_run(rows, self._run_path(), 0, seq=0, partitions=o.partitions, bloom_fpp=o.bloom_fpp, row_group_bytes=o.row_group_bytes)
 
         def add(old: State) -> State:
-            if batch_id is not None and batch_id in old.batches:
+            if batch_id is not None and old.has(batch_id):
                 return old
-            new = replace(old, runs=list(old.runs), batches=old.batches + ([batch_id] if batch_id is not None else []), options=asdict(o))
+            new = replace(old, runs=list(old.runs), batches=old.batches if batch_id is None else old.with_batch(batch_id), options=asdict(o))
             if run is not None:
                 new.runs.append(replace(run, seq=old.next_seq, min_seq=old.next_seq, max_seq=old.next_seq))
                 new.next_seq = old.next_seq + 1
@@ -173,10 +173,18 @@ class Store:
         """(key, found, value) for each key."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame([(bytearray(as_key(k)),) for k in keys], "key binary")
-        return lookup.multi_get(self.ops(), keys)
+        return lookup.multi_get(self._ops_of(keys), keys)
 
     def contains(self, keys: DataFrame) -> DataFrame:
-        return lookup.contains(self.ops(), keys)
+        return lookup.contains(self._ops_of(keys), keys)
+
+    def _ops_of(self, keys: DataFrame) -> DataFrame:
+        """The op-log rows between the least and the greatest asked key; runs outside are not planned."""
+        ends = keys.agg(F.min(F.col("key").cast("binary")).alias("low"), F.max(F.col("key").cast("binary")).alias("high")).collect()[0]
+        if ends.low is None:
+            return self.ops()
+        low, high = bytes(ends.low), bytes(ends.high)
+        return self.ops(low, high).where(lookup.between(low, high))
 
     def scan(self, start: str | bytes | None = None, end: str | bytes | None = None, version: int | None = None) -> DataFrame:
         """Live keys in [start, end], ascending; runs outside the range are not even planned."""
@@ -206,9 +214,9 @@ class Store:
         run = write_run(df, self._run_path(), level, unique=False, partitions=self.options.partitions, bloom_fpp=self.options.bloom_fpp)
         return self.manifest.commit(lambda old: replace(old, runs=old.runs + ([run] if run else []), next_seq=max(old.next_seq, (run.max_seq if run else 0) + 1), options=asdict(self.options)))
 
-    def compact(self, most: int = 100) -> State:
-        """Run jobs until the strategy has none."""
-        for _ in range(most):
+    def compact(self) -> State:
+        """Run jobs until the strategy has none; each leaves fewer runs above the last level, so they end."""
+        while True:
             state = self.manifest.read()
             job = self.options.strategy().pick(state.runs, self.options.num_levels)
             if not job:
@@ -217,7 +225,6 @@ class Store:
                 self.run_job(state, job.inputs, job.output_level)
             except Conflict:
                 continue  # another compaction took the inputs
-        return self.manifest.read()
 
     def compact_all(self) -> State:
         """Merge everything into one run of the last level."""

@@ -1,4 +1,4 @@
-"""Paths: the folder that driver and executors share, and small file operations on any Hadoop file system."""
+"""Paths: the folder that driver and executors share, tables written there, and small file operations on any Hadoop file system."""
 
 from __future__ import annotations
 
@@ -7,13 +7,19 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests on one machine) a folder is made and set."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset on one machine (tests) a folder is made and set; on a cluster that is an error,
+    since executors would not see a folder of the driver.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keylog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,6 +29,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/keylog/{tag}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    What reads it twice reads the same rows in the same partitions, and a lost executor costs only its own running tasks.
+    """
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     """The few operations the store needs; local paths by ``os``, others by Hadoop."""
 
