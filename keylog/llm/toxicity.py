@@ -8,15 +8,19 @@ and in a long text.
 
 The vocabulary holds those whose share of toxic texts in the fitting part is
 higher than chance allows: a binomial test with Bonferroni's correction over all
-words tried, near copies with the same label counting once. Labels are only toxic or not, so grades
-are derived there too: toxic texts with more vocabulary words than the median of
-those that have any are grade 2, other toxic ones grade 1. Weights and thresholds
+words tried, near copies with the same label counting once. Labels are only toxic or not, so grade 2
+is *derived*, not labelled: toxic texts with more vocabulary words than the median of
+those that have any are grade 2, other toxic ones grade 1. The severity above 1 therefore
+measures how much telling vocabulary a toxic text holds, not a human judgement; P(grade > 0) rests on labels alone.
+``OrdinalModel.calibration`` keeps, for each threshold, the mean probability and the
+observed share on the held-out part. Weights and thresholds
 are fitted by accelerated proximal gradient with an L1 penalty; the rejection
 threshold is set on the held-out part.
 
 Fitting uses at most ``fit_rows`` labelled documents (those with the smallest hashes
-of their text), reduced on the executors to distinct word counts; equal texts
-count once. Scoring is a map over all documents with the bounded model in
+of their id); equal texts count once, with the highest label. Their features are counted and tested on the
+executors. The driver gets a signature of fixed size per text, the words whose share of toxic texts
+is high, and each text's counts of vocabulary words. Scoring is a map over all documents with the bounded model in
 the closure: no shuffle.
 
 Edge cases: null and empty texts have severity 0; null labels are ignored, of
@@ -43,13 +47,13 @@ from pyspark.sql import functions as F
 from keylog.llm import bytewords as B
 from keylog.llm.common import saved, table, whole_text
 
-FIT_ROWS = 6_000  #: bound of the labelled sample
+FIT_ROWS = 10_000  #: bound of the labelled sample
 PREFIXES = (3, 4, 5, 6)  #: lengths of word beginnings
 CHANCE = 0.01  #: chance that any word without meaning enters the vocabulary
 GRADES = 3
 PENALTY = 2e-4
-NEAR = 0.8  #: Jaccard similarity of the features from which on texts are near copies
-HASHES, LIKELY = 64, 0.6  #: min-hashes, and the share of equal ones from which on the similarity is computed
+NEAR = 0.8  #: estimated Jaccard similarity of the features from which on texts are near copies
+HASHES, BAND = 128, 4  #: min-hashes of a text's features (the estimate's deviation is 0.035 at NEAR), and those that must agree in a row for texts to be compared
 COST = 3  #: a clean text rejected weighs as much as so many toxic ones kept
 SCORES = "doc_id long, severity double, p_toxic double, grade int, rejected boolean"
 
@@ -73,11 +77,15 @@ def features(found: Counter) -> Counter:
 
 @dataclass
 class OrdinalModel:
-    """weights: word -> weight; theta: ordered thresholds; cut: least P(grade > 0) that is rejected."""
+    """weights: word -> weight; theta: ordered thresholds; cut: least P(grade > 0) that is rejected.
+
+    calibration: per threshold (mean P(grade > j), share of texts above) on the held-out texts.
+    """
 
     weights: dict[str, float] = field(default_factory=dict)
     theta: tuple[float, ...] = (30.0, 31.0)
     cut: float = 2.0
+    calibration: tuple[tuple[float, float], ...] = ()
 
     def __post_init__(self) -> None:
         self.heads = {w.removeprefix("^")[:3] for w in self.weights}  # only words that begin so can weigh
@@ -92,7 +100,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.asarray(self.theta) - np.asarray(z)[:, None], -40, 40)))
 
 
-def fit_cumulative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.ndarray, n_words: int, penalty: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.ndarray, n_words: int, penalty: float, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by accelerated proximal gradient on the cumulative-link likelihood.
 
     rows, cols, vals: the sparse matrix in coordinates. theta_j = theta_0 + sums of exp(gaps).
@@ -124,65 +132,35 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades:
         w_old, p_old = w, par
         x = v - step * gw
         w = np.sign(x) * np.maximum(np.abs(x) - step * penalty, 0)
-        par = q - min(step, 1.0) * gq
+        par = q - np.clip(2.0 * gq, -0.5, 0.5)  # thresholds have a curvature of their own
     return w, par[0] + np.concatenate([[0], np.cumsum(np.exp(par[1:]))])
 
 
-@dataclass
-class Sample:
-    """Labelled texts as a sparse matrix of feature counts in compressed rows."""
-
-    starts: np.ndarray
-    codes: np.ndarray
-    counts: np.ndarray
-    toxic: np.ndarray
-    names: np.ndarray
-    sizes: np.ndarray  # features of each whole text, those of one text only included
-
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.toxic)), np.diff(self.starts))
-
-    def only(self, keep: np.ndarray) -> Sample:
-        """The rows with ``keep``."""
-        sizes, at = np.diff(self.starts), keep[self.rows()]
-        return Sample(np.concatenate([[0], np.cumsum(sizes[keep])]), self.codes[at], self.counts[at], self.toxic[keep], self.names, self.sizes[keep])
-
-    def per_name(self, weights: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(self.codes, weights, minlength=len(self.names))
-
-
-def signatures(x: Sample) -> np.ndarray:
-    """Min-hashes of the features of every text."""
-    hashes = np.fromiter((zlib.crc32(w.encode()) for w in x.names), dtype=np.uint64, count=len(x.names))
-    some = np.flatnonzero(np.diff(x.starts))
-    out = np.zeros((len(x.toxic), HASHES), dtype=np.uint32)
-    for j in range(HASHES if len(some) else 0):
-        mixed = (B.mix(hashes + np.uint64((j + 1) << 32)) >> np.uint64(32)).astype(np.uint32)
-        out[some, j] = np.minimum.reduceat(mixed[x.codes], x.starts[some])
+def signature(names: list[str]) -> np.ndarray:
+    """Min-hashes of a set of features; the share of equal ones in two signatures estimates the sets' Jaccard similarity."""
+    if not names:
+        return np.full(HASHES, 0xFFFFFFFF, dtype="<u4")
+    h = np.fromiter((zlib.crc32(w.encode()) for w in names), dtype=np.uint64, count=len(names))
+    out = np.full(HASHES, 0xFFFFFFFF, dtype="<u4")
+    seeds = np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)
+    for i in range(0, len(h), 4096):
+        out = np.minimum(out, (B.mix(h[i : i + 4096, None] + seeds) >> np.uint64(32)).min(0).astype("<u4"))
     return out
 
 
-def distinct(x: Sample) -> Sample:
-    """Without near copies: texts whose features have a similarity of NEAR to those of an earlier one with the same label.
-
-    Min-hashes propose, the sets decide; all other texts stay.
-    """
-    signs = signatures(x)
-    keep = np.zeros(len(x.toxic), dtype=bool)
-    for label in (False, True):
-        kept, n = np.zeros((int((x.toxic == label).sum()), HASHES), dtype=np.uint32), 0
-        places = np.zeros(len(kept), dtype=np.int64)
-        for i in np.flatnonzero(x.toxic == label):
-            mine = x.codes[x.starts[i] : x.starts[i + 1]]
-            likely = places[:n][(kept[:n] == signs[i]).mean(1) >= LIKELY] if len(mine) else []
-            for j in likely:
-                common = len(np.intersect1d(mine, x.codes[x.starts[j] : x.starts[j + 1]], assume_unique=True))
-                if common >= NEAR * (x.sizes[i] + x.sizes[j] - common):
-                    break
-            else:
-                keep[i], kept[n], places[n] = True, signs[i], i
-                n += 1
-    return x.only(keep)
+def distinct(signs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which texts to keep: all but those estimated to be NEAR a kept earlier one with the same label."""
+    keep = np.ones(len(toxic), dtype=bool)
+    seen: dict[tuple, list[int]] = {}
+    for i, label in enumerate(toxic.tolist()):
+        keys = [(label, b, signs[i, b : b + BAND].tobytes()) for b in range(0, HASHES, BAND)]
+        near = sorted({j for k in keys for j in seen.get(k, ())})
+        if near and ((signs[near] == signs[i]).mean(1) >= NEAR).any():
+            keep[i] = False
+        else:
+            for k in keys:
+                seen.setdefault(k, []).append(i)
+    return keep
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -190,39 +168,75 @@ def tail(n: int, k: int, p: float) -> float:
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
 
 
-def fit(sample: Sample) -> OrdinalModel:
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(h, toxic, words, counts, sign) of the distinct texts among at most ``fit_rows`` labelled documents; of equal texts the highest label counts."""
+    lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: it may be broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(some), "doc_id")
+    texts = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [features(words(t)) for t in pdf["text"]]
+            names = [list(x.keys()) for x in found]
+            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "words": names, "counts": [list(x.values()) for x in found], "sign": [signature(x).tobytes() for x in names]})
+
+    return saved(texts.mapInPandas(count, "h string, toxic boolean, words array<string>, counts array<int>, sign binary"), "labelled")
+
+
+def vocabulary(train: DataFrame, base: float) -> list[str]:
+    """The features of (words, toxic) that stand in more toxic texts than chance allows, ``base`` being the share of those."""
+    seen = train.select(F.explode("words").alias("w"), F.col("toxic").cast("int").alias("bad")).groupBy("w").agg(F.count("*").alias("df"), F.sum("bad").alias("bad"))
+    tried = saved(seen.where(F.pow(F.lit(base), F.col("df")) <= CHANCE), "tried")  # rarer ones cannot pass
+    n = tried.count()
+    high = tried.where(F.col("bad") > 1.5 * base * F.col("df")).collect()
+    return sorted(r.w for r in high if tail(r.df, r.bad, base) <= CHANCE / n)
+
+
+def fit(sample: DataFrame) -> OrdinalModel:
     """The model of a sample; every third text is held out for the threshold."""
-    sample = distinct(sample)
-    third = np.arange(len(sample.toxic)) % 3 == 0
-    train, held = sample.only(~third), sample.only(third)
-    n, n_bad = len(train.toxic), int(train.toxic.sum())
-    if not n_bad or n_bad == n or not len(held.toxic):
+    spark = sample.sparkSession
+    got = sample.select("h", "toxic", "sign").toArrow().sort_by("h")
+    toxic = np.asarray(got["toxic"]).astype(bool)
+    if not toxic.any() or toxic.all():
         return OrdinalModel()
-    base = n_bad / n
-    df, bad = train.per_name(), train.per_name(train.toxic[train.rows()].astype(float)).astype(int)
-    tried = np.flatnonzero(base**df <= CHANCE)  # rarer ones cannot pass
-    vocab = [i for i in tried if bad[i] > 1.5 * base * df[i] and tail(int(df[i]), int(bad[i]), base) <= CHANCE / len(tried)]
+    signs = np.frombuffer(b"".join(x.as_py() for x in got["sign"]), dtype="<u4").reshape(len(toxic), HASHES)
+    kept = np.flatnonzero(distinct(signs, toxic))
+    third = np.arange(len(kept)) % 3 == 0
+    toxic = toxic[kept]
+    n, n_bad = int((~third).sum()), int(toxic[~third].sum())
+    if not n_bad or n_bad == n or not third.any():
+        return OrdinalModel()
+    ids = got["h"].take(pa.array(kept)).to_pylist()
+    part = spark.createDataFrame([(h, i, bool(t)) for i, (h, t) in enumerate(zip(ids, third, strict=True))], "h string, i int, held boolean")
+    rows = sample.select("h", "toxic", "words", "counts").join(F.broadcast(part), "h")  # one row for each text of the bounded sample
+    vocab = vocabulary(rows.where("not held"), n_bad / n)
     if not vocab:
         return OrdinalModel()
-    place = np.full(len(sample.names), -1)
-    place[vocab] = np.arange(len(vocab))
-    stem = np.array([w.startswith("^") for w in sample.names])
-
-    def matrix(x: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = place[x.codes] >= 0
-        return x.rows()[at], place[x.codes[at]], np.log1p(x.counts[at])
-
-    rows, cols, vals = matrix(train)
-    whole = (place[train.codes] >= 0) & ~stem[train.codes]
-    tells = np.bincount(train.rows()[whole], train.counts[whole], minlength=n)
-    some = train.toxic & (tells > 0)
-    grades = np.where(train.toxic, 1 + (tells > (np.median(tells[some]) if some.any() else 0)), 0)
-    w, theta = fit_cumulative(rows, cols, vals, grades, len(vocab), PENALTY)
-    model = OrdinalModel({str(sample.names[v]): float(w[i]) for i, v in enumerate(vocab) if abs(w[i]) > 1e-6}, tuple(map(float, theta)))
-    rows, cols, vals = matrix(held)
-    p = model.above(np.bincount(rows, vals * w[cols], minlength=len(held.toxic)))[:, 0]
-    if held.toxic.any() and not held.toxic.all():
-        model.cut = threshold(p, held.toxic)
+    place = {w: k for k, w in enumerate(vocab)}
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, ws, cs in zip(pdf["i"], pdf["words"], pdf["counts"], strict=True):
+                at = sorted((place[w], c) for w, c in zip(ws, cs, strict=True) if w in place)
+                yield pd.DataFrame({"i": i, "k": [k for k, _ in at], "c": [c for _, c in at]})
+
+    x = rows.select("i", "words", "counts").mapInPandas(only, "i int, k int, c int").toArrow().sort_by([("i", "ascending"), ("k", "ascending")])
+    row, col, counts = (np.asarray(x[c]).astype(np.int64) for c in ("i", "k", "c"))
+    stem = np.array([w.startswith("^") for w in vocab])
+    whole = ~stem[col]
+    tells = np.bincount(row[whole], counts[whole], minlength=len(kept))
+    some = toxic & (tells > 0) & ~third
+    grades = np.where(toxic, 1 + (tells > (np.median(tells[some]) if some.any() else 0)), 0)
+    number = np.cumsum(~third) - 1
+    mine = ~third[row]
+    w, theta = fit_cumulative(number[row[mine]], col[mine], np.log1p(counts[mine]), grades[~third], len(vocab), PENALTY)
+    model = OrdinalModel({v: float(w[i]) for i, v in enumerate(vocab) if abs(w[i]) > 1e-6}, tuple(map(float, theta)))
+    p = model.above(np.bincount(row, np.log1p(counts) * w[col], minlength=len(kept)))[third]
+    model.calibration = tuple((float(p[:, j].mean()), float((grades[third] > j).mean())) for j in range(GRADES - 1))
+    held = toxic[third]
+    if held.any() and not held.all():
+        model.cut = threshold(p[:, 0], held)
     return model
 
 
@@ -239,34 +253,6 @@ def threshold(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(at[i] + at[i + 1]) / 2)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Sample:
-    """The distinct texts among at most ``fit_rows`` labelled documents; of equal texts the highest label counts."""
-    lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(some), "doc_id")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [features(words(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "w": [list(x.keys()) for x in found], "c": [list(x.values()) for x in found]})
-
-    got = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic")).mapInPandas(count, "h string, toxic boolean, w array<string>, c array<int>").toArrow()
-    got = got.sort_by([("h", "ascending"), ("toxic", "descending")]).combine_chunks()
-    if not len(got):
-        return Sample(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=bool), np.array([], dtype=object), np.zeros(0, dtype=int))
-    w, c = got["w"].combine_chunks(), got["c"].combine_chunks()
-    words_ = w.flatten().dictionary_encode()
-    codes, sizes = np.asarray(words_.indices), np.diff(np.asarray(w.offsets))
-    twice = np.bincount(codes, minlength=len(words_.dictionary)) > 1  # features of one text only tell nothing
-    at = twice[codes]
-    rows_ = np.repeat(np.arange(len(sizes)), sizes)[at]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(rows_, minlength=len(sizes)))])
-    names = np.array(words_.dictionary.filter(pa.array(twice)).to_pylist(), dtype=object)
-    whole = Sample(starts, (np.cumsum(twice) - 1)[codes[at]], np.asarray(c.flatten())[at], np.asarray(got["toxic"]), names, sizes)
-    h = np.asarray(got["h"])
-    return whole.only(np.concatenate([[True], h[1:] != h[:-1]]))
-
-
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
     return fit(labelled_sample(docs, labels, fit_rows))
 

@@ -26,7 +26,9 @@ def test_held_out_accuracy_and_edges(spark):
     docs += [(5000, None), (5001, ""), (None, "zughix blarx"), (5002, "x " * 200_000 + "zughen blarx blarx"), (0, docs[0][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'q' as toxic", "0 as h")
     lab = spark.createDataFrame([*labels, (None, 1), (1, None), (99999, 1)], "doc_id long, toxic int")
-    out = X.score(d, X.train(d, lab)).collect()
+    model = X.train(d, lab)
+    assert len(model.calibration) == 2 and all(abs(mean - share) < 0.1 for mean, share in model.calibration)
+    out = X.score(d, model).collect()
     assert len(out) == len(docs)
     by = {r.doc_id: r for r in out}
     seen = {i for i, _ in labels}
@@ -68,6 +70,45 @@ def test_only_near_copies_with_the_same_label_count_once(spark):
     rows = list(enumerate([*texts, *copy]))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame([(i, int(i == 42 or 10 <= i < 20)) for i, _ in rows], "doc_id long, toxic int")
-    all_ = X.labelled_sample(d, lab)
-    left = X.distinct(all_)
-    assert len(all_.toxic) == 43 and len(left.toxic) == 41 and left.toxic.sum() == 11
+    got = X.labelled_sample(d, lab).toArrow().sort_by("h")
+    signs = np.stack([np.frombuffer(x.as_py(), dtype="<u4") for x in got["sign"]])
+    toxic = np.asarray(got["toxic"]).astype(bool)
+    keep = X.distinct(signs, toxic)
+    assert len(toxic) == 43 and keep.sum() == 41 and toxic[keep].sum() == 11
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs, labels = corpus(400, 5)
+    docs += [(900, None), (901, ""), (902, "ZUGH" * 3 + " zugh-zugh blarx1blarx É zughonen")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = X.train(d, lab)
+    assert model.weights and len(model.calibration) == 2
+    for r in X.score(d, model).collect():
+        t = dict(docs)[r.doc_id] or ""
+        found, word = {}, ""
+        for c in t.lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                for f in [word, *("^" + word[:k] for k in X.PREFIXES if len(word) > k)]:
+                    found[f] = found.get(f, 0) + 1
+                word = ""
+        z = sum(w * np.log1p(found[f]) for f, w in model.weights.items() if f in found)
+        p = [1 / (1 + np.exp(c - z)) if t else 0.0 for c in model.theta]
+        assert abs(r.p_toxic - p[0]) < 1e-9 and abs(r.severity - sum(p)) < 1e-9 and r.rejected == (bool(t) and p[0] >= model.cut)
+
+
+def test_features_are_counted_on_executors(spark):
+    docs, labels = corpus(300, 6)
+    rows = X.labelled_sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), fit_rows=100)
+    assert rows.count() == 100
+    texts = dict(docs)
+    base = rows.where("toxic").count() / 100
+    df, bad = {}, {}
+    for r in rows.collect():
+        for w in r.words:
+            df[w] = df.get(w, 0) + 1
+            bad[w] = bad.get(w, 0) + r.toxic
+    tried = [w for w in df if base ** df[w] <= X.CHANCE]
+    want = sorted(w for w in tried if bad[w] > 1.5 * base * df[w] and X.tail(df[w], bad[w], base) <= X.CHANCE / len(tried))
+    assert X.vocabulary(rows, base) == want and len(texts) == 300
