@@ -21,6 +21,76 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
 limitations under the License.
 """
+MIT = """MIT License
+
+Copyright (c) 2021 Some Body <some@body.org>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2019, 2020 Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ISC = """ISC License
+
+Copyright 2020 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD3 = BSD2 + NAMES
+PUBLISHED = {"MIT": MIT, "BSD-2-Clause": BSD2 + BSD_END, "BSD-3-Clause": BSD3 + BSD_END, "ISC": ISC, "Apache-2.0": "Copyright 2024 Some Body\n\n" + APACHE}
 TEXTS = [
     None, "", " \n\t ", APACHE, "Some prose. Released under the MIT License.", "Title\nLicensed under CC BY-NC 4.0.\nmore", "This licence is our own. All rights reserved.",
     "Released under the MIT License. Released under the MIT License.", "x" * 200_000, "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "A permission slip.",
@@ -53,6 +123,47 @@ def test_license_scan(spark):
     assert L.license_scan(docs.limit(0)).count() == 0
 
 
+def matched(ids):
+    """Licenses of an identifier sequence by plain lists."""
+    rest, found = [i for i in ids if i != L.OUTSIDE], []
+    for name, seq in L.RULES:
+        k, i = len(seq), 0
+        while i + k <= len(rest):
+            if rest[i : i + k] == seq:
+                rest[i : i + k] = ["#"]
+                found.append(name)
+            i += 1
+    return list(dict.fromkeys(found))
+
+
+def test_published_texts_and_adjacent_notices(spark):
+    r = random.Random(3)
+    texts = [*PUBLISHED.values(), BSD3 + BSD3, BSD3 + "\n" + BSD2, "Released under the MIT License.\n" * 5, "Released under the MIT License. Licensed under the MIT License."]
+    sentences = [*L.SENTENCES, "copyright 2020 some body", "a licence of our own"]
+    by_id = {}
+    for t, i in L.SENTENCES.items():
+        by_id.setdefault(i, t)
+    for _ in range(150):
+        some = [r.choice(sentences) for _ in range(r.randrange(4))]
+        for _, seq in r.choices(L.RULES, k=r.randrange(5)):
+            at = r.randrange(len(some) + 1)
+            some[at:at] = [by_id[i] for i in seq[: r.choice([len(seq), len(seq), len(seq) - 1])]]
+        texts.append(". ".join(some) + ".")
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs, documents = frames(spark, rows, ["doc_id", "text", "lang", "source"])
+    out = {x.doc_id: x for x in L.op1_of(docs).collect()}
+    for k, (name, _) in enumerate(PUBLISHED.items()):
+        found = out[k].licenses.split(",")
+        assert name in found and set(found) <= {name, "All-Rights-Reserved"} and out[k].status == "known", (name, out[k])
+    assert out[5].licenses == "BSD-3-Clause,All-Rights-Reserved" and out[6].licenses.startswith("BSD-3-Clause,BSD-2-Clause")
+    for x in out.values():
+        assert x.licenses == ",".join(matched(x.sentence_ids.split(",") if x.sentence_ids else [])), x
+    con = duckdb.connect()
+    con.register("documents", documents)
+    cols = ["doc_id", "source", "sentence_ids", "licenses", "n_sentences", "n_known", "n_unknown", "status"]
+    assert sorted(con.sql(L.OP1_SQL).select(", ".join(cols)).fetchall()) == sorted(tuple(x[c] for c in cols) for x in out.values())
+
+
 def quality_rows(seed, n):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
