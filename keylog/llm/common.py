@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylog.workspace import scratch, shared_dir
+
+__all__ = ["drop_saved", "global_slots", "release", "saved", "scratch", "shared_dir", "slots", "table", "whole_text"]
+
 #: Bytes that separate words: the space and \t..\r, as the inside of a regex class.
 SPACES = r"\x20\x09-\x0D"
 
@@ -31,23 +33,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine) a folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keylog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/keylog/{tag}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -121,6 +106,3 @@ def global_slots(numbered: DataFrame, key: str, slot: str, part: str = "_part",
     offsets = counts.select(key, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return numbered.join(offsets, [key, part]).withColumn(slot, (F.col("_base") + F.col(rank)).cast("long")).drop("_base", part, rank)
 
-
-def empty_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns).limit(0)

@@ -8,13 +8,12 @@ with the digests that occur twice, by broadcast or shuffle as their measured siz
 
 Reader: tasks get byte ranges. A task looks for gzip magic in its range, takes a
 place for a member only if what it decodes there starts a WARC header, and owns the
-records that start inside, reading past its end to finish the last. The writer
-re-compresses a member until no magic occurs inside it, so in its own archives a
-magic is always a start; in others a false one fails the header test.
+records that start inside, reading past its end to finish the last. Magic inside
+compressed data fails that test, in the writer's own archives as in others.
 
 Edge cases: null html is an empty payload; a null url has no target header; rows
-with a null page_id are archived without an id (responses, or revisits of the
-group's response); repeated rows with the smallest page_id are all responses; an
+with a null page_id are archived without a page id and with a record id of their own (responses, or revisits of the
+group's response); rows that repeat a page_id share its record id, and with the smallest page_id are all responses; an
 empty table gives no archives and no rows; other columns are never read.
 """
 
@@ -34,6 +33,7 @@ from keylog.llm.common import saved, scratch, table
 
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 4 << 20
+TASK_BYTES = 64 << 20  #: of ranges that one task reads, where there are more than a few for every core
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +42,7 @@ RECORDS = "path string, at long, page_id long, url string, record_type string, r
 
 
 def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}')}>"
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(SPACE, f'page:{page_id}')}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -61,13 +61,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def member(data: bytes, level: int = 4) -> bytes:
-    """A gzip member that holds its magic only at the start."""
-    for n in range(1000):
-        z = zlib.compressobj((level + n) % 9 + 1 if n else level, zlib.DEFLATED, 31, 9 - n % 2)
-        out = z.compress(data[: n * 7]) + (z.flush(zlib.Z_FULL_FLUSH) if n > 8 else b"") + z.compress(data[n * 7 :]) + z.flush()
-        if out.find(MAGIC, 1) < 0:
-            return out
-    raise ValueError("no compression of this record is free of gzip magic")
+    """A gzip member."""
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
 
 def open_fs(uri: str):
@@ -82,7 +78,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     large = rows.where(F.octet_length("html") >= min_bytes)
     firsts = saved(large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "firsts")
-    rows = rows.join(firsts, "sha", "left")
+    rows = rows.join(firsts, "sha", "left")  # a page whose payload is alone has no row there; broadcast or a join by digest that splits skewed ones
     rows = rows.withColumn("refers_to", F.when(F.octet_length("html") >= min_bytes, F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")))).drop("first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +164,9 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
     payloads: whether the column ``payload`` is filled; sizes and digests always come from the decoded payload.
     """
     splits = archives.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
-    n = max(1, min(splits.count(), 10_000))
+    size = archives.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).collect()[0]
+    spread = archives.sparkSession.sparkContext.defaultParallelism * 8
+    n = max(1, min(size.n + size.bytes // split_bytes, max(spread, size.bytes // TASK_BYTES)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORDS.split(", ")]

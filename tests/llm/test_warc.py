@@ -55,5 +55,24 @@ def test_archives_are_plain_warc(spark):
     assert text.count(b"WARC/1.1\r\n") == 2 and b"WARC-Type: revisit" in text
 
 
+def test_payloads_that_do_not_compress(spark):
+    """Members with gzip magic inside are read back whole, whatever the ranges."""
+    r = random.Random(7)
+    rows = [(i, "u", "".join(chr(r.choice([0x1F, 0x8B, 8, 0, r.randrange(0x20, 0x7F)])) for _ in range(3000))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = W.write_archives(pages, scratch(spark, "w"))
+    for split in (311, W.SPLIT_BYTES):
+        assert {x.page_id: bytes(x.payload).decode() for x in W.read_archives(archives, split).collect()} == {i: t for i, _, t in rows}
+    noise = bytes(r.randrange(256) for _ in range(1000)) + W.MAGIC + b"WARC/" + W.MAGIC
+    data = b"".join(W.member(b"WARC/1.1\r\n\r\n" + noise, 0) for _ in range(5))
+    assert data.count(W.MAGIC) == 15
+    found = [x for a in range(0, len(data), 97) for x in W.members(lambda n, at: data[at : at + n], a, min(a + 97, len(data)), len(data))]
+    assert [x for _, x in found] == [b"WARC/1.1\r\n\r\n" + noise] * 5
+
+
+def test_records_without_a_page_id_have_ids_of_their_own():
+    assert W.record_id(None) != W.record_id(None) and W.record_id(3) == W.record_id(3)
+
+
 def test_empty(spark):
     assert W.read_archives(W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "w"))).count() == 0
