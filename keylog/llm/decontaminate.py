@@ -62,20 +62,28 @@ class Bits:
     """A set of 64-bit hashes as a map of bounded size: never misses a member, may take others for one."""
 
     def __init__(self, n: int) -> None:
-        k = min(MOST_BITS, max(16, (16 * n).bit_length()))
+        k = min(MOST_BITS, max(16, (64 * n).bit_length()))
         self.shift, self.data = np.uint64(64 - k), np.zeros(1 << (k - 3), dtype=np.uint8)
 
     def add(self, h: np.ndarray) -> None:
-        for x in (h, B.mix(h)):
+        for x in self.probes(h):
             at = x >> self.shift
             np.bitwise_or.at(self.data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(h.shape, dtype=bool)
-        for x in (h, B.mix(h)):
-            at = x >> self.shift
-            out &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
+        out = np.zeros(h.size, dtype=bool)
+        left, places = h.ravel(), np.arange(h.size)
+        for x in self.probes(None):  # few are left after the first
+            at = (left * x) >> self.shift
+            k = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            left, places = left[k], places[k]
+        out[places] = True
+        return out.reshape(h.shape)
+
+    @staticmethod
+    def probes(h: np.ndarray | None) -> list:
+        odd = B.odd(11, 4)
+        return list(odd) if h is None else [h * x for x in odd]
 
 
 def _salt(*x: int) -> np.uint64:
@@ -134,10 +142,9 @@ class Gate:
 
 
 def window_keys(words: np.ndarray, m: int, starts: np.ndarray) -> np.ndarray:
-    """The keys, which name size and table too, of the windows of m words at ``starts``; windows may hang over the end."""
+    """The keys, which name size and table too, of the windows of m words at ``starts``; windows may hang over the end. A few thousand at a time."""
     padded = np.concatenate([words, np.zeros(m, dtype=np.uint64)])
-    keys = [lsh_keys(padded[starts[i : i + 2048, None] + np.arange(m)]) for i in range(0, len(starts), 2048)]
-    return B.mix(np.concatenate(keys) ^ np.array([_salt(m, t, 2) for t in range(TABLES)]))
+    return B.mix(lsh_keys(padded[starts[:, None] + np.arange(m)]) ^ np.array([_salt(m, t, 2) for t in range(TABLES)]))
 
 
 def lsh_keys(windows: np.ndarray) -> np.ndarray:
@@ -253,18 +260,23 @@ def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for region, words, sizes, starts in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-                words, sizes, starts = np.frombuffer(words, dtype="<u8"), np.frombuffer(sizes, dtype="<i4"), np.frombuffer(starts, dtype="<i4")
-                keys = [np.zeros(0, dtype=np.uint64)]
-                for m in np.unique(sizes).tolist():
-                    at = starts[sizes == m].astype(np.int64)
-                    for i in range(0, len(at), 8192):
-                        k = window_keys(words, m, at[i : i + 8192]).ravel()
-                        keys.append(np.unique(k[known.has(k)]))  # a key that no item has joins nothing
-                own = np.unique(np.concatenate(keys)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), region), pa.int64())], schema=schema)
-
-    windows = found.select("region", "words", "sizes", "starts").mapInArrow(run, "key long, region long")
+            rows = [batch.column(j).to_pylist() for j in range(4)]
+            words = [np.frombuffer(w, dtype="<u8") for w in rows[1]]
+            sizes, starts = (np.concatenate([np.zeros(0, dtype="<i4"), *(np.frombuffer(x, dtype="<i4") for x in rows[j])]).astype(np.int64) for j in (2, 3))
+            owner = np.repeat(np.arange(len(words)), [len(x) // 4 for x in rows[2]])
+            for m in np.unique(sizes).tolist():  # all windows of a size together, as many at a time as memory allows
+                mine = np.flatnonzero(sizes == m)
+                for i in range(0, len(mine), 2048):
+                    w = mine[i : i + 2048]
+                    some = np.unique(owner[w])
+                    text = np.concatenate([y for x in some for y in (words[x], np.zeros(m, dtype=np.uint64))])
+                    base = np.cumsum([0, *(len(words[x]) + m for x in some)])[np.searchsorted(some, owner[w])]
+                    keys = window_keys(text, m, base + starts[w])
+                    a, b = np.nonzero(known.has(keys))  # a key that no item has joins nothing
+                    own, at = keys[a, b].view(np.int64), np.array(rows[0], dtype=np.int64)[owner[w[a]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at)], schema=schema)
+
+    windows = found.select("region", "words", "sizes", "starts").mapInArrow(run, "key long, region long").distinct()
     return windows.join(items.select(F.explode("keys").alias("key"), "item"), "key").select("region", "item").distinct()
 
 
