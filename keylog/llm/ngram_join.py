@@ -3,23 +3,27 @@
 Documents are sets of distinct word n-grams (here: 64-bit hashes). Two link when
 their Jaccard similarity reaches the threshold. Steps, each a shuffle of packed or narrow rows:
 
-1. Frequencies of all grams of all documents, counted by hash range. Grams that occur often
+1. Frequencies of all grams of all documents, counted in blocks and merged by hash range. Grams that occur often
    (a list of bounded length) go to the end of the *global order*: rare grams by
    hash first, frequent ones after them by frequency.
 2. Each document's set is hashed to a class; documents with equal sets are one class
-   and are joined once. Of each class the first n - ceil(t n) + 1 grams in the
+   and are joined once. Classes have 64-bit names; a second hash of every set tells whether two sets share a name, and
+   such classes are renamed. Of each class the first n - ceil(t n) + 1 grams in the
    global order are indexed, and the first n - ceil(2 t / (1 + t) n) + 1 of them are marked:
    linked classes share one of those that is marked in the smaller set.
 3. Candidates from the index. Small postings give all their pairs. Larger ones give, per
-   band of set sizes, pairs with one leader only; each posting draws its own.
-4. Overlaps, *vertically*: the global gram range is cut into fragments; each pair's
-   overlap is counted in every fragment separately and summed per pair. The first
-   fragments are counted for all pairs, further ones only for pairs that can still reach the
+   band of set sizes, pairs with one leader only; each posting draws its own. A posting of a frequent gram is
+   dealt out in chunks, each draws its leaders, and the leaders of the chunks do so again until they fit in one.
+4. Overlaps, by *vertical partitioning*: the global order is cut into fragments of equal load (occurrences of grams).
+   Every set is cut into its segments, and each (fragment, pair) is a row of its own that meets the two
+   segments by (fragment, class) and counts their overlap; partial overlaps are then summed per pair. The
+   fragments of rare grams are counted for all pairs, further ones only for pairs that can still reach the
    threshold if all their uncounted grams agree.
 5. Links give components. Postings that still span several components draw leaders once
    more; in what then is open, the pairs of different components are made, but for those that the places of their common gram rule out (too
    few grams follow it), or the triangle inequality of the Jaccard distance by their
-   distances to the leader. They go through 4 as well.
+   distances to the leader. Open postings of more than ``HOT`` classes are cut into blocks, and each pair of blocks is a
+   unit of work. All these pairs go through 4 as well.
    So no link between different components is lost, and the many links inside a large group
    of near copies are never made.
 
@@ -32,6 +36,7 @@ its doc_id is repeated; a null doc_id takes part and does not count as the small
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,8 +53,9 @@ PERCENT = 75
 OFTEN = 16  #: a gram in more documents than this may be called frequent
 MOST_FREQUENT = 1_000_000  #: bound of the list of frequent grams (12 MB)
 SMALL = 4  #: postings up to this length give all their pairs
-FRAGMENTS = 8
-STAGES = ((0, 1, 2), (3, 4, 5, 6, 7))  #: fragments counted together; pairs are pruned in between
+FRAGMENTS = 6
+STAGES = ((0, 1), (2, 3, 4, 5))  #: fragments counted before and after pairs are pruned
+HOT = 4096  #: members of a posting that one group holds at once
 FLUSH = 2_000_000  #: grams a task gathers before it passes them on
 BROADCAST_IDS = 1_000_000  #: ids are broadcast up to this many, else joined by a shuffle
 
@@ -78,14 +84,44 @@ def _part_of(high: np.ndarray, parts: int) -> np.ndarray:
     return ((high.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted upper halves of gram hashes, their document counts): the frequent ones, at most ``most``.
+class Order:
+    """The global order: rare grams by hash, then the frequent ones (sorted upper halves of their hashes) by document count.
 
-    Counted over all grams of all documents. Halves that coincide are counted
+    load: occurrences of all grams in all documents.
+    """
+
+    def __init__(self, halves: np.ndarray, counts: np.ndarray, load: int) -> None:
+        self.halves, self.counts, self.load = halves, counts, max(load, 1)
+        self.rare = max(load - int(counts.sum()), 0)
+        by = np.lexsort((halves, counts))
+        self.reach = np.empty(len(halves), dtype=np.int64)
+        self.reach[by] = self.rare + np.cumsum(counts[by].astype(np.int64))
+
+    def often(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document count of each frequent gram and 0 for rare ones, its place in the list)."""
+        if not len(self.halves):
+            return np.zeros(len(g), dtype=np.int64), np.zeros(len(g), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.halves, (g >> np.uint64(32)).astype(np.uint32)), len(self.halves) - 1)
+        return np.where(self.halves[at] == g >> np.uint64(32), self.counts[at], 0).astype(np.int64), at
+
+    def fragment(self, g: np.ndarray, fragments: int) -> np.ndarray:
+        """The fragment of each gram: fragments hold equal loads and follow each other in the order."""
+        often, at = self.often(g)
+        before = (g >> np.uint64(32)).astype(np.float64) / 2.0**32 * self.rare
+        if len(self.halves):
+            before = np.where(often > 0, self.reach[at] - 1, before)
+        return np.minimum((before * fragments / self.load).astype(np.int64), fragments - 1)
+
+
+def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> Order:
+    """The global order; its list holds the frequent grams, at most ``most``.
+
+    Counted over all grams of all documents, in blocks first, so that a gram of every document
+    comes once from each block. Halves that coincide are counted
     together, which moves both in the order and changes no result.
     """
     parts = _parts(docs)
-    schema = pa.schema([("part", pa.int32()), ("halves", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("ones", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -93,32 +129,42 @@ def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> tu
             for g in gram_sets(batch.column(0), n):
                 held.append((g >> np.uint64(32)).astype(np.uint32))
                 size += len(g)
-            if size >= FLUSH:
-                yield packed(held)
-                held, size = [], 0
+                if size >= FLUSH:
+                    yield packed(held)
+                    held, size = [], 0
         if size:
             yield packed(held)
 
+    def thin(x: np.ndarray) -> bytes:
+        """Differences of sorted numbers, low and high halves apart: the latter are nearly all zero and compress away."""
+        return np.diff(x, prepend=np.uint32(0)).astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+    def thick(b: bytes) -> np.ndarray:
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(b, dtype="<u2").reshape(2, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.sort(np.concatenate(held))
+        x, c = np.unique(np.concatenate(held), return_counts=True)
         p = _part_of(x, parts)
-        cuts = np.flatnonzero(np.diff(p)) + 1
-        runs = np.split(x, cuts)
-        # Differences of sorted numbers, low and high halves apart: the latter are nearly all zero and compress away.
-        blobs = [np.concatenate([np.diff(r, prepend=np.uint32(0)).astype("<u4").view("<u2").reshape(-1, 2).T.ravel()]).tobytes() for r in runs]
-        return pa.RecordBatch.from_arrays([pa.array(p[np.concatenate([[0], cuts])], pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
+        runs = [(x[a:b], c[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [[thin(r[k == 1]) for r, k in runs], [thin(r[k > 1]) for r, k in runs], [k[k > 1].astype("<u4").tobytes() for _, k in runs]]
+        return pa.RecordBatch.from_arrays([pa.array(p[cuts[:-1]], pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], schema=schema)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(b, dtype="<u2").reshape(2, -1).T).view("<u4").ravel(), dtype=np.uint32) for b in pdf["halves"]])
-        x.sort()
+        ones = [thick(b) for b in pdf["ones"]]
+        x = np.concatenate([*ones, *(thick(b) for b in pdf["more"])])
+        c = np.concatenate([np.ones(sum(map(len, ones)), dtype=np.int64), *(np.frombuffer(b, dtype="<u4") for b in pdf["counts"])]).astype(np.int64)
+        order = np.argsort(x, kind="stable")
+        x, c = x[order], c[order]
         cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        c = np.diff(np.append(cuts, len(x)))
+        load = int(c.sum())
+        c = np.minimum(np.add.reduceat(c, cuts), 0xFFFFFFFF)
         k = c > OFTEN
-        return pd.DataFrame({"halves": [x[cuts[k]].astype("<u4").tobytes()], "counts": [c[k].astype("<u4").tobytes()], "over": [[int((c > OFTEN << j).sum()) for j in range(40)]]})
+        return pd.DataFrame({"halves": [x[cuts[k]].astype("<u4").tobytes()], "counts": [c[k].astype("<u4").tobytes()], "load": load, "over": [[int((c > OFTEN << j).sum()) for j in range(28)]]})
 
-    counted = saved(docs.select(whole_text().alias("text")).mapInArrow(gather, "part int, halves binary").groupBy("part").applyInPandas(count, "halves binary, counts binary, over array<long>"), "frequent", free=True)
-    over = counted.agg(*(F.sum(F.col("over")[j]).alias(f"o{j}") for j in range(40))).collect()[0]
-    least = next((OFTEN << j for j in range(40) if (over[j] or 0) <= most), OFTEN << 40)
+    counted = saved(docs.select(whole_text().alias("text")).mapInArrow(gather, "part int, ones binary, more binary, counts binary").groupBy("part").applyInPandas(count, "halves binary, counts binary, load long, over array<long>"), "frequent", free=True)
+    over = counted.agg(F.sum("load").alias("load"), *(F.sum(F.col("over")[j]).alias(f"o{j}") for j in range(28))).collect()[0]
+    least = next((OFTEN << j for j in range(28) if (over[f"o{j}"] or 0) <= most), OFTEN << 28)
 
     def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,37 +177,55 @@ def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> tu
     halves = np.concatenate([np.zeros(0, dtype="<u4"), *(np.frombuffer(r.halves, dtype="<u4") for r in rows)])
     counts = np.concatenate([np.zeros(0, dtype="<u4"), *(np.frombuffer(r.counts, dtype="<u4") for r in rows)])
     order = np.argsort(halves)
-    return halves[order], counts[order]
+    return Order(halves[order], counts[order], over["load"] or 0)
+
 
+@dataclass(frozen=True)
+class Names:
+    """64-bit names of sets, the same for equal sets. shared: names that different sets have; these go by both hashes.
 
-def class_of(g: np.ndarray) -> int:
-    """A 64-bit name of a set, the same for equal sets."""
-    h = B.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(B.mix(np.array([h + np.uint64(len(g))]))[0].astype(np.int64))
+    bits: of the first hash that are used (fewer in tests).
+    """
+
+    bits: int = 64
+    shared: frozenset[int] = frozenset()
 
+    def both(self, g: np.ndarray) -> tuple[int, int]:
+        """(name, a second and independent hash) of a set."""
+        n = np.uint64(len(g))
+        a, b = (B.mix(B.mix(g ^ np.uint64(k)).sum(dtype=np.uint64, keepdims=True) + n).view(np.int64)[0] for k in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B))
+        name = int(a) >> (64 - self.bits)
+        return (name ^ int(b) if name in self.shared else name), int(b)
 
-def members(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, c, n, prefix) of every row: its class, set size, and first grams in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by MOST_FREQUENT
-    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())])
+
+def members(docs: DataFrame, order: Order, n: int = N, percent: int = PERCENT, bits: int = 64) -> tuple[DataFrame, Names]:
+    """(doc_id, c, n, prefix) of every row: its class, set size, and first grams in the global order; and the classes' names."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # bounded by MOST_FREQUENT
+    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves, counts = shared.value
+        names = Names(bits)
         for batch in batches:
-            cs, ns, prefixes = [], [], []
+            out: list[list] = [[], [], [], []]
             for g in gram_sets(batch.column(1), n):
                 p = len(g) - (percent * len(g) + 99) // 100 + 1 if len(g) else 0
-                cs.append(class_of(g))
-                ns.append(len(g))
-                if len(halves) and len(g):
-                    at = np.minimum(np.searchsorted(halves, (g >> np.uint64(32)).astype(np.uint32)), len(halves) - 1)
-                    often = np.where(halves[at] == g >> np.uint64(32), counts[at], 0)
-                    if often.any():
-                        g = g[np.lexsort((g, often))]
-                prefixes.append(g[:p].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.binary())], schema=schema)
-
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, c long, n int, prefix binary"), "members")
+                name = names.both(g)
+                often, _ = shared.value.often(g)
+                if often.any():
+                    g = g[np.lexsort((g, often))]
+                for col, x in zip(out, (*name, len(g), g[:p].astype("<u8").tobytes()), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(col, f.type) for col, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
+
+    wide = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, c long, v long, n int, prefix binary"), "members")
+    twice = wide.groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("c")
+    found = frozenset(r.c for r in twice.limit(1_000_001).collect())  # of n sets about n^2 / 2^65 pairs share a name: a hundred at 6e10
+    if len(found) > 1_000_000:
+        raise RuntimeError("too many sets share their 64-bit names")
+    if found:
+        both = F.transform(F.array(*map(F.lit, sorted(found))), lambda x: x)
+        wide = wide.withColumn("c", F.when(F.array_contains(both, F.col("c")), F.col("c").bitwiseXOR(F.col("v"))).otherwise(F.col("c")))
+    return wide.drop("v"), Names(bits, found)
 
 
 def reachable(na: np.ndarray, nb: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray, percent: int) -> np.ndarray:
@@ -193,11 +257,53 @@ def leaders(n: np.ndarray, marked: np.ndarray, seed: int, percent: int) -> np.nd
         open_ &= ~take
 
 
-def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
-    """(kind, g, a, b, na, nb, marked, rest) from members: kind 0, a pair to check; kind 1, b in posting g has leader a."""
+def postings(g: np.ndarray, n: np.ndarray, marked: np.ndarray, split: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, whether a leads b) as places in entries sorted by (g, n, unmarked first last): all pairs of small postings, leaders of others."""
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(first, len(g)))
+    small = (length <= SMALL) & ~split[first]
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for d in range(1, SMALL):
+        for s in range(SMALL - d):
+            f = first[small & (length > s + d)]
+            left.append(f + s)
+            right.append(f + s + d)
+    k = sum(map(len, left))
+    for f, size in zip(first[~small], length[~small], strict=True):
+        left.append(f + leaders(n[f : f + size], marked[f : f + size], int(g[f]) & ((1 << 62) - 1), percent))
+        right.append(np.arange(f, f + size))
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a, b, np.arange(len(a)) >= k
+
+
+_FOUND = "kind byte, g long, a long, b long, na int, nb int, marked boolean, rest int, split boolean"
+
+
+def _found(x: dict[str, np.ndarray], percent: int) -> pd.DataFrame:
+    """Pairs and leaders (_FOUND) among entries g, n, marked, rest, c, split: kind 0, a pair to check; kind 1, b in posting g has leader a."""
+    order = np.lexsort((x["c"], ~x["marked"], x["n"], x["g"]))
+    x = {k: v[order] for k, v in x.items()}
+    once = np.concatenate([[True], (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1])])
+    x = {k: v[once] for k, v in x.items()}
+    n, flag, rest, c = x["n"], x["marked"], x["rest"], x["c"]
+    a, b, lead = postings(x["g"], n, flag, x["split"], percent)
+    ok = lead | flag[a] & reachable(n[a], n[b], rest[a], rest[b], percent)  # a is the smaller set here
+    a, b, lead = a[ok], b[ok], lead[ok]
+    out = pd.DataFrame({"kind": lead.astype(np.int8), "g": x["g"][b], "a": c[a], "b": c[b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "marked": flag[b], "rest": rest[b].astype(np.int32), "split": x["split"][b]})
+    posts = out[out["kind"] == 1]
+    # Leaders meet all their members, reachable or not: the distances are used in step 5.
+    pairs = pd.concat([out[out["kind"] == 0], posts[posts["a"] != posts["b"]].assign(kind=np.int8(0))])
+    swap = pairs["a"] > pairs["b"]  # a pair is found from either side, but named once
+    pairs = pairs.assign(**{x: pairs[x].where(~swap, pairs[y]) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))}).drop_duplicates(["a", "b"])
+    return pd.concat([pairs, posts])
+
+
+def candidates(rows: DataFrame, order: Order, parts: int, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """Pairs and leaders (_FOUND) from members."""
+    shared = rows.sparkSession.sparkContext.broadcast(order)
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
-    entry = np.dtype([("g", "<u4"), ("n", "<u4"), ("rest", "<u4"), ("c", "<i8")])  # rest: the set's grams from this one on
-    mark = np.uint32(1 << 31)  # set in n: the gram is among those that the smaller set of a link must share
+    entry = np.dtype([("g", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("c", "<i8")])  # rest: the set's grams from this one on
+    mark, cut = np.uint32(1 << 31), np.uint32(1 << 31)  # set in n: the gram is among those that the smaller set of a link must share; in rest: the posting is in chunks
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -216,60 +322,54 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame
     def packed(held: dict) -> pa.RecordBatch:
         g = np.concatenate([x for _, x in held.values()])
         k = np.array([len(x) for _, x in held.values()])
-        p = _part_of(g >> np.uint64(32), parts)
         x = np.empty(len(g), dtype=entry)
-        x["g"] = B.mix(g) >> np.uint64(32)  # inside a range, 32 bits tell grams apart well enough to propose pairs
+        x["g"] = g.view(np.int64)
         n = np.array([n for n, _ in held.values()], dtype=np.int64)
         marked = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
         place = np.arange(len(g)) - np.repeat(np.cumsum(k) - k, k)
         x["n"] = np.repeat(n, k).astype(np.uint32) | np.where(place < np.repeat(marked, k), mark, np.uint32(0))
         x["c"] = np.repeat(np.fromiter(held, dtype=np.int64, count=len(held)), k)
-        x["rest"] = np.repeat(n, k) - place
-        order = np.argsort(p, kind="stable")
-        p, x = p[order], x[order]
+        often, _ = shared.value.often(g)
+        chunks = (1 + often // hot).astype(np.uint64)
+        x["rest"] = (np.repeat(n, k) - place).astype(np.uint32) | np.where(chunks > 1, cut, np.uint32(0))
+        chunk = B.mix(x["c"].view(np.uint64) ^ np.uint64(0x517CC1B727220A95)) % chunks
+        p = _part_of(B.mix(g + chunk * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32), parts)
+        by = np.argsort(p, kind="stable")
+        p, x = p[by], x[by]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
         return pa.RecordBatch.from_arrays([pa.array(p[cuts[:-1]], pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(b, dtype=entry) for b in pdf["data"]])
-        n, flag = (x["n"] & ~mark).astype(np.int64), x["n"] >= mark
-        order = np.lexsort((x["c"], ~flag, n, x["g"]))
-        x, n, flag = x[order], n[order], flag[order]
-        once = np.concatenate([[True], (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1])])
-        x, n, flag = x[once], n[once], flag[once]
-        first = np.flatnonzero(np.concatenate([[True], x["g"][1:] != x["g"][:-1]]))
-        length = np.diff(np.append(first, len(x)))
-        left, right = [], []
-        for d in range(1, SMALL):  # all pairs of small postings
-            for s in range(SMALL - d):
-                f = first[(length <= SMALL) & (length > s + d)]
-                left.append(f + s)
-                right.append(f + s + d)
-        small = np.concatenate(left), np.concatenate(right)
-        lead, follow = [], []
-        for f, k in zip(first[length > SMALL], length[length > SMALL], strict=True):
-            lead.append(f + leaders(n[f : f + k], flag[f : f + k], int(x["g"][f]), percent))
-            follow.append(np.arange(f, f + k))
-        a = np.concatenate([small[0], *lead]).astype(np.int64)
-        b = np.concatenate([small[1], *follow]).astype(np.int64)
-        kinds = np.concatenate([np.zeros(len(small[0]), dtype=np.int8), np.ones(len(a) - len(small[0]), dtype=np.int8)])
-        rest = x["rest"].astype(np.int64)
-        ok = (kinds == 1) | flag[a] & reachable(n[a], n[b], rest[a], rest[b], percent)  # a is the smaller set here
-        a, b, kinds = a[ok], b[ok], kinds[ok]
-        out = pd.DataFrame({"kind": kinds, "g": (int(pdf["part"].iloc[0]) << 32) + x["g"][b].astype(np.int64), "a": x["c"][a], "b": x["c"][b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "marked": flag[b], "rest": rest[b].astype(np.int32)})
-        posts = out[out["kind"] == 1]
-        # Leaders meet all their members, reachable or not: the distances are used in step 5.
-        pairs = pd.concat([out[out["kind"] == 0], posts[posts["a"] != posts["b"]].assign(kind=0)])
-        swap = pairs["a"] > pairs["b"]  # a pair is found from either side, but named once
-        pairs = pairs.assign(**{x: pairs[x].where(~swap, pairs[y]) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))}).drop_duplicates(["a", "b"])
-        return pd.concat([pairs, posts])
+        return _found({"g": x["g"], "n": (x["n"] & ~mark).astype(np.int64), "marked": x["n"] >= mark, "rest": (x["rest"] & ~cut).astype(np.int64), "c": x["c"], "split": x["rest"] >= cut}, percent)
 
     packed_rows = rows.select("c", "n", "prefix").mapInArrow(gather, "part int, data binary")
-    return saved(packed_rows.groupBy("part").applyInPandas(pair_up, "kind byte, g long, a long, b long, na int, nb int, marked boolean, rest int"), "candidates", free=True)
-
-
-def segments(docs: DataFrame, classes: DataFrame, n: int = N, which: tuple[int, ...] = STAGES[0], fragments: int = FRAGMENTS) -> DataFrame:
-    """(c, f0, f1, ..) for the classes (c, rep): each set cut at fixed places of the global gram range, some of the fragments.
+    out = saved(packed_rows.groupBy("part").applyInPandas(pair_up, _FOUND), "candidates", free=True)
+    own = F.col("a") == F.col("b")
+    tops = out.where((F.col("kind") == 1) & F.col("split") & own)
+    pairs, last = out, None
+    while True:  # the leaders of a posting's chunks draw leaders, as long as that leaves far fewer; what stays apart is left to step 5
+        counts = tops.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
+        most = counts.agg(F.max("members")).collect()[0][0]
+        if most is None or last is not None and most > last // 2:
+            return pairs
+        last = most
+        dealt = tops.select("g", F.col("b").alias("c"), F.col("nb").alias("n"), "marked", "rest").join(counts, "g").withColumn("chunks", 1 + F.expr(f"members div {hot}"))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("c"), "chunks")), F.lit(parts)))
+
+        def again(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = {k: pdf[k].to_numpy() for k in ("g", "n", "marked", "rest", "c")}
+            return _found(x | {"n": x["n"].astype(np.int64), "rest": x["rest"].astype(np.int64), "split": np.ones(len(pdf), dtype=bool)}, percent)
+
+        level = saved(dealt.groupBy("part").applyInPandas(again, _FOUND), "leaders")
+        pairs = pairs.unionByName(level.where("kind = 0"))
+        tops = level.where((F.col("kind") == 1) & own)
+        if most <= hot:
+            return pairs
+
+
+def segments(docs: DataFrame, classes: DataFrame, order: Order, names: Names, n: int = N, which: tuple[int, ...] = STAGES[0], fragments: int = FRAGMENTS) -> DataFrame:
+    """(c, f, grams) for the classes (c, rep): the segment of each set in each of the fragments, empty ones included.
 
     Rows with a repeated doc_id give a class's segments more than once.
     """
@@ -279,31 +379,31 @@ def segments(docs: DataFrame, classes: DataFrame, n: int = N, which: tuple[int,
     wanted = d.join(F.broadcast(ids.distinct()) if few else ids.distinct(), "doc_id", "left_semi")
     if classes.where("rep is null").limit(1).count():
         wanted = wanted.unionByName(d.where("doc_id is null"))
-    schema = pa.schema([("c", pa.int64()), *((f"f{k}", pa.list_(pa.int64())) for k in which)])
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    schema = pa.schema([("c", pa.int64()), ("f", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cs, columns = [], [([0], []) for _ in which]
+            cs, sizes, parts = [], [], [np.zeros(0, dtype=np.uint64)]
             for g in gram_sets(batch.column(0), n):
                 if len(g):
-                    cs.append(class_of(g))
-                    f = (g >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                    cuts = np.searchsorted(f, np.arange(fragments + 1))
-                    for (starts, parts), k in zip(columns, which, strict=True):
-                        starts.append(starts[-1] + int(cuts[k + 1] - cuts[k]))
-                        parts.append(g[cuts[k] : cuts[k + 1]])
-            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]).view(np.int64))) for starts, parts in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), *lists], schema=schema)
-
-    rows = wanted.select("text").mapInArrow(run, "c long, " + ", ".join(f"f{k} array<long>" for k in which))
+                    cs.append(names.both(g)[0])
+                    f = shared.value.fragment(g, fragments)
+                    for k in which:
+                        parts.append(g[f == k])
+                        sizes.append(len(parts[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(cs, dtype=np.int64), len(which))), pa.array(np.tile(np.array(which, dtype=np.int32), len(cs))), lists], schema=schema)
+
+    rows = wanted.select("text").mapInArrow(run, "c long, f int, grams array<long>")
     wanted_c = classes.select("c")
     return rows.join(F.broadcast(wanted_c) if few else wanted_c, "c", "left_semi")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, names: Names, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(a, b, linked, nearest, farthest) of pairs (a, b, na, nb): whether they link, and bounds of their Jaccard distance.
 
-    Fragments are counted separately and summed by pair, stage by stage.
+    Each (fragment, pair) is counted by itself; the counts are summed by pair, before pairs are pruned and after.
     """
     zero = F.lit(0).cast("long")
     todo = pairs.select("a", "b", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), zero.alias("common"), zero.alias("sa"), zero.alias("sb"))
@@ -311,17 +411,17 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int = N,
     for which in STAGES:
         ends = todo.select(F.col("a").alias("c")).unionByName(todo.select(F.col("b").alias("c"))).distinct()
         involved = saved(classes.join(ends, "c", "left_semi"), "involved")
-        seg = saved(segments(docs, involved, n, which), "segments", free=True)
-        right = seg.select(F.col("c").alias("b"), *(F.col(f"f{j}").alias(f"b{j}") for j in which))
-        left = seg.select(F.col("c").alias("a"), *(F.col(f"f{j}").alias(f"a{j}") for j in which))
-        # Each pair meets b's segments first; only those travel on to a's.
-        x = todo.join(right, "b").join(left, "a")
+        seg = saved(segments(docs, involved, order, names, n, which), "segments", free=True)
+        work = todo.withColumn("f", F.explode(F.array(*map(F.lit, which))))
+        # Each row meets b's segment first; only that travels on to a's.
+        x = work.join(seg.select(F.col("c").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
+        x = x.join(seg.select(F.col("c").alias("a"), "f", F.col("grams").alias("ga")), ["a", "f"])
         key = ["a", "b", "na", "nb", "common", "sa", "sb"]
-        counts = [F.size(F.array_intersect(f"a{j}", f"b{j}")) for j in which]  # every fragment by itself
-        total = lambda cols: sum(cols[1:], cols[0]).cast("long")
-        k = x.select(*key, total(counts).alias("k"), total([F.size(f"a{j}") for j in which]).alias("la"), total([F.size(f"b{j}") for j in which]).alias("lb"))
-        k = k.groupBy(*key).agg(*(F.max(c).alias(c) for c in ("k", "la", "lb")))  # repeated rows of a class count once
-        k = k.select("a", "b", "na", "nb", (F.col("common") + F.col("k")).alias("common"), (F.col("sa") + F.col("la")).alias("sa"), (F.col("sb") + F.col("lb")).alias("sb"))
+        part = x.select(*key, "f", F.size(F.array_intersect("ga", "gb")).alias("k"), F.size("ga").alias("la"), F.size("gb").alias("lb"))
+        # Repeated rows of a class count once: the maximum of each fragment, then the sum over the fragments.
+        sums = part.groupBy(*key).agg(*(F.max(F.when(F.col("f") == j, F.struct("k", "la", "lb"))).alias(f"f{j}") for j in which))
+        total = lambda c: sum((F.col(f"f{j}.{c}") for j in which[1:]), F.col(f"f{which[0]}.{c}")).cast("long")  # noqa: E731, B023
+        k = sums.select("a", "b", "na", "nb", (F.col("common") + total("k")).alias("common"), (F.col("sa") + total("la")).alias("sa"), (F.col("sb") + total("lb")).alias("sb"))
         k = k.withColumn("most", F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")))
         k = saved(k.withColumn("can", F.expr(f"100 * most >= {percent} * (na + nb - most)")), "overlaps", free=True)
         drop_saved(seg)
@@ -334,24 +434,26 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int = N,
     return out
 
 
-def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for every row of the documents.
 
     n_links: links of the row's class that were made (at least those that hold its component together).
     """
-    wide = members(docs, frequent_grams(docs, n), n, percent)
-    found = candidates(wide, _parts(docs), percent)
+    order = frequent_grams(docs, n)
+    wide, names = members(docs, order, n, percent, bits)
+    parts = _parts(docs)
+    found = candidates(wide, order, parts, percent, hot)
     rows = saved(wide.select("doc_id", "c", "n"), "rows")
     drop_saved(wide)
     classes = saved(rows.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("rep")), "classes")
     pairs = saved(found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
-    checked = overlaps(docs, pairs, classes, n, percent)
+    checked = overlaps(docs, pairs, classes, order, names, n, percent)
     links = saved(checked.where("linked").select("a", "b"), "round1")
     labels = components(links)
     for star in (True, False):
-        more = unresolved(found, labels, checked, star, percent)
+        more = unresolved(found, labels, checked, star, parts, percent, hot)
         if more.limit(1).count():
-            extra = saved(overlaps(docs, more, classes, n, percent), "checked")
+            extra = saved(overlaps(docs, more, classes, order, names, n, percent), "checked")
             checked = checked.unionByName(extra)
             new = extra.where("linked").select("a", "b")
             links = links.unionByName(new)
@@ -375,15 +477,19 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(nodes.join(new.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
-def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bool, percent: int = PERCENT) -> DataFrame:
+def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bool, parts: int, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """Pairs (a, b, na, nb) of larger postings that are in different components, were not checked, and may still link.
 
     star: only pairs with leaders newly drawn, which leave fewer pairs to the full round.
     """
     posts = found.where("kind = 1").select("g", F.col("b").alias("c"), F.col("nb").alias("n"), F.col("a").alias("leader"), "marked", "rest")
     posts = posts.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    open_ = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
-    posts = posts.join(saved(open_, "open"), "g", "left_semi")
+    open_ = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi")
+    posts = posts.join(saved(open_.select("g", (1 + F.expr(f"members div {hot}")).alias("chunks")), "open"), "g")
+    # Each member has a block of its posting. Leaders are drawn in blocks; for the full round every pair of blocks, and every block, is a unit.
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("c"), "chunks"))
+    other = F.array("block") if star else F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    posts = posts.withColumn("other", F.explode(other)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "chunks")
     both = checked.select("a", "b", "nearest", "farthest")
     far = both.select(F.col("a").alias("leader"), F.col("b").alias("c"), "nearest", "farthest").unionByName(both.select(F.col("b").alias("leader"), F.col("a").alias("c"), "nearest", "farthest"))
     posts = posts.join(far, ["leader", "c"], "left")
@@ -393,10 +499,11 @@ def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bo
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         """All open postings of one hash range."""
-        pdf = pdf.assign(late=~pdf["marked"]).sort_values(["g", "n", "late", "c"])
+        pdf = pdf.assign(late=~pdf["marked"]).sort_values(["g", "lo", "hi", "n", "late", "c"])
         x = {k: pdf[k].to_numpy() for k in pdf.columns}
         x["n"], x["rest"] = x["n"].astype(np.int64), x["rest"].astype(np.int64)
-        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], x["g"][1:] != x["g"][:-1]])), [len(pdf)]])
+        new = (x["g"][1:] != x["g"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], new])), [len(pdf)]])
         found = [pair_up({k: v[s:t] for k, v in x.items()}, s) for s, t in zip(edges[:-1], edges[1:], strict=True)]
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         c, n = x["c"], x["n"]
@@ -407,12 +514,15 @@ def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bo
         n, comp, marked = x["n"], x["component"], x["marked"]
         if star:
             b = np.arange(len(n))
-            a = leaders(n, marked, int(x["g"][0]) + (1 << 40), percent)
+            a = leaders(n, marked, (int(x["g"][0]) & ((1 << 62) - 1)) + 1, percent)
             return a[comp[a] != comp[b]] + at, b[comp[a] != comp[b]] + at
         lead, rest, near, far = x["leader"], x["rest"], x["nearest"], x["farthest"]
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        apart = x["lo"][0] != x["hi"][0]  # two blocks: only pairs across
         for i in np.flatnonzero(marked):
             j = np.arange(i + 1, np.searchsorted(n, int(n[i]) * 100 // percent, "right"))
+            if apart:
+                j = j[x["block"][j] != x["block"][i]]
             j = j[(comp[j] != comp[i]) & reachable(n[i], n[j], rest[i], rest[j], percent)]
             if len(j):
                 j = j[~((lead[j] == lead[i]) & ((near[j] - far[i] > most) | (near[i] - far[j] > most)))]
@@ -420,7 +530,7 @@ def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bo
                 right.append(j)
         return np.concatenate(left) + at, np.concatenate(right) + at
 
-    pairs = posts.withColumn("part", F.shiftright("g", 32)).groupBy("part").applyInPandas(cross, "a long, b long, na int, nb int").distinct()
+    pairs = posts.withColumn("part", F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(parts))).groupBy("part").applyInPandas(cross, "a long, b long, na int, nb int").distinct()
     return saved(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from keylog.llm import ngram_join as J
@@ -51,12 +52,36 @@ def corpus(seed):
     return [*rows, (20_001, None), (20_000, ""), (20_002, " \n"), (None, rows[0][1]), (None, "alone by itself"), rows[5], (20_003, "a b"), (20_004, "A  B"), (20_005, "big " * 50_000)]
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, J.HOT, 64), (3, 7, 6)])
+def test_against_brute_force(spark, seed, hot, bits):
+    """Also with postings dealt out in chunks of seven, and with names of six bits, which many different sets share."""
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as c", "2 as n", "3 as component").repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_join(docs).collect()), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as c", "2 as n", "3 as component", "4 as f", "5 as block").repartition(3)
+    out = J.ngram_join(docs, hot=hot, bits=bits).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
     assert got == brute(rows)
+    sets = {}
+    for r, t in [(r, t) for r in out for d, t in rows if d == r.doc_id and d is not None and sum(x == d for x, _ in rows) == 1]:
+        sets.setdefault(r.class_id, set()).add(frozenset(shingles(t)))
+    assert all(len(x) == 1 for x in sets.values()) and len(sets) == len(set().union(*sets.values()))
+
+
+def test_fragments_follow_the_global_order_with_equal_loads(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = J.frequent_grams(docs)
+    count = {}
+    for _, t in rows:
+        for x in shingles(t):
+            count[x] = count.get(x, 0) + 1
+    assert order.load == sum(count.values()) and sorted(order.counts.tolist()) == sorted(c for c in count.values() if c > J.OFTEN)
+    texts = __import__("pyarrow").array([t or "" for _, t in rows])
+    g = np.concatenate(list(J.gram_sets(texts, 5)))
+    f, often = order.fragment(g, J.FRAGMENTS), order.often(g)[0]
+    by = np.lexsort((g, often))
+    assert (np.diff(f[by]) >= 0).all()
+    loads = np.bincount(f, minlength=J.FRAGMENTS)
+    assert loads.sum() == order.load and loads.max() < 1.5 * order.load / J.FRAGMENTS + order.counts.max()
 
 
 def test_keep_one_and_empty(spark):
