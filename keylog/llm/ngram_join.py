@@ -55,8 +55,8 @@ MOST_FREQUENT = 1_000_000  #: bound of the list of frequent grams (12 MB)
 SMALL = 4  #: postings up to this length give all their pairs
 FRAGMENTS = 6
 STAGES = ((0, 1), (2, 3, 4, 5))  #: fragments counted before and after pairs are pruned
-HOT = 4096  #: members of a posting that one group holds at once
-FLUSH = 2_000_000  #: grams a task gathers before it passes them on
+HOT = 1024  #: members of a posting that one group holds at once
+FLUSH = 1_000_000  #: grams a task gathers before it passes them on
 BROADCAST_IDS = 1_000_000  #: ids are broadcast up to this many, else joined by a shuffle
 
 
@@ -77,7 +77,7 @@ def _parts(docs: DataFrame) -> int:
     """Hash ranges: as many as shuffle partitions, and more for more input."""
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (16 << 20), 1 << 20), 4)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (8 << 20), 1 << 20), 4)
 
 
 def _part_of(high: np.ndarray, parts: int) -> np.ndarray:
@@ -313,7 +313,7 @@ def candidates(rows: DataFrame, order: Order, parts: int, percent: int = PERCENT
                 if n and c not in held:
                     held[c] = (n, np.frombuffer(prefix, dtype="<u8"))
                     size += len(held[c][1])
-            if size >= FLUSH // 2:
+            if size >= FLUSH:
                 yield packed(held)
                 held, size = {}, 0
         if held:

@@ -188,13 +188,20 @@ def joined(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return rid[at], start[at], (reach - shift)[np.append(at[1:], len(rid)) - 1]
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """The documents with rows in the same places whenever they are read: a plain scan of files as it is, all else written first."""
+    rows = docs.select("doc_id", "text")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
+    return rows if plain else saved(rows, "texts")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(rid, doc, text): rows numbered by their place in the table, the same in every pass over it."""
+    """(rid, doc, text): rows of ``_placed`` documents numbered by their place, the same in every pass."""
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("doc"), whole_text().alias("text"))
 
 
-_SPAN = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_BLOB = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("g", "s", "doc", "rid", "lo", "hi"))])
+_BLOB = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("g", "s", "doc", "rid", "lo", "hi", "local"))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -242,24 +249,16 @@ def _parts(docs: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (8 << 20), 1 << 20), 4)
 
 
-def local_repeats(docs: DataFrame) -> DataFrame:
-    """(rid, start, end) of spans that repeat inside their block of text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, FLUSH):
-            x, again = _spans_of_block(*block)
-            spans = joined(x["rid"][again], x["lo"][again], x["hi"][again] + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in spans], schema=_SPAN)
-
-    return _numbered(docs).mapInArrow(run, "rid long, start long, end long")
-
-
 def met_spans(docs: DataFrame, parts: int) -> DataFrame:
-    """(kind, rid, start, end, g): kind 0, spans that repeat an earlier one; 1, contested ones (start .. end are window starts); 2, hot contested ones."""
+    """(kind, rid, start, end, g): kind 0, spans that repeat an earlier one; 1, contested ones (start .. end are window starts); 2, hot contested ones.
+
+    Spans that repeat inside their block of text are settled there; they travel along, joined, with one of the block's ranges.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, FLUSH):
             x, again = _spans_of_block(*block)
+            local = b"".join(v.astype("<i8").tobytes() for v in joined(x["rid"][again], x["lo"][again], x["hi"][again] + LENGTH))
             x = {k: v[~again] for k, v in x.items()}
             part = _part_of(B.mix(x["g"]), parts)
             order = np.argsort(part, kind="stable")
@@ -267,7 +266,8 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
             kinds = {"g": "<u8", "s": "<u8", "doc": "<i8", "rid": "<i8", "lo": "<u4", "hi": "<u4"}
             cols = [pa.array([v[a:b].astype(kinds[k]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in x.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), *cols], schema=_BLOB)
+            first = (int(x["g"][0]) % max(len(cuts) - 1, 1)) if len(part) else 0
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), *cols, pa.array([local if i == first else b"" for i in range(len(cuts) - 1)], pa.binary())], schema=_BLOB)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         get = lambda k, kind: np.frombuffer(b"".join(pdf[k]), dtype=kind)
@@ -279,12 +279,13 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
         first = new_g | np.concatenate([[True], s[1:] != s[:-1]])
         gram = np.cumsum(new_g) - 1
         spans = np.bincount(gram, first)[gram]
-        rest = joined(rid[~first], lo[~first], hi[~first] + LENGTH)
+        own = [np.frombuffer(b, dtype="<i8").reshape(3, -1) for b in pdf["local"]]
+        rest = joined(*(np.concatenate([x, *(o[k] for o in own)]) for k, x in enumerate((rid[~first], lo[~first], hi[~first] + LENGTH))))
         c = first & (spans > 1)
         kind = np.concatenate([np.zeros(len(rest[0])), np.where(spans[c] > HOT, 2, 1)]).astype(np.int8)
         return pd.DataFrame({"kind": kind, "rid": np.concatenate([rest[0], rid[c]]), "start": np.concatenate([rest[1], lo[c]]), "end": np.concatenate([rest[2], hi[c]]), "g": np.concatenate([np.zeros(len(rest[0]), dtype=np.int64), g[c].astype(np.int64)])})
 
-    packed = _numbered(docs).mapInArrow(gather, "part int, g binary, s binary, doc binary, rid binary, lo binary, hi binary")
+    packed = _numbered(docs).mapInArrow(gather, "part int, g binary, s binary, doc binary, rid binary, lo binary, hi binary, local binary")
     return saved(packed.groupBy("part").applyInPandas(meet, "kind byte, rid long, start long, end long, g long"), "met", free=True)
 
 
@@ -330,10 +331,11 @@ def contested_repeats(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept) of every document; kept: the bytes that stay, as binary."""
+    docs = _placed(docs)
     parts = _parts(docs)
     met = met_spans(docs, parts)
     extra = contested_repeats(docs, met, parts)
-    spans = local_repeats(docs).unionByName(met.where("kind = 0").select("rid", "start", "end")).unionByName(extra)
+    spans = met.where("kind = 0").select("rid", "start", "end").unionByName(extra)
     by_doc = saved(spans.groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans", free=True)
     drop_saved(met)
     rows = _numbered(docs).join(by_doc, "rid", "left")

@@ -176,10 +176,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     texts = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b[i : i + 100] for b in batches for i in range(0, len(b), 100)):
             found = [features(words(t)) for t in pdf["text"]]
             names = [list(x.keys()) for x in found]
-            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "words": names, "counts": [list(x.values()) for x in found], "sign": [signature(x).tobytes() for x in names]})
+            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "words": names, "counts": [list(x.values()) for x in found], "sign": [signature(x).tobytes() for x in names]})
 
     return saved(texts.mapInPandas(count, "h string, toxic boolean, words array<string>, counts array<int>, sign binary"), "labelled")
 

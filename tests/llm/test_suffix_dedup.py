@@ -47,9 +47,7 @@ def test_against_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(S, "FLUSH", 5000)
     rows = corpus(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rid", "2 as start", "3 as kind").coalesce(1)
-    from keylog.llm.common import saved
-
-    out = S.dedup(saved(docs, "t"))
+    out = S.dedup(docs)
     got = sorted(map(repr, [tuple(r) for r in out.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()]))
     assert got == sorted(map(repr, S.brute_force(rows)))
 
@@ -67,5 +65,12 @@ def test_anchors_meet_and_tile():
         assert all(owner[offsets[1] + 50 + i] == owner[500 + i] for i in range(900))
 
 
+def test_only_plain_scans_are_read_again(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert S._placed(docs).inputFiles() == docs.inputFiles()
+    for other in (docs.repartition(3), docs.orderBy("text"), docs.distinct(), docs.unionByName(docs), docs.sample(0.5)):
+        assert S._placed(other).inputFiles()[0].split("/keylog/")[-1].startswith("texts-")
+
+
 def test_empty(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
