@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
+BLOCK = 1 << 20  #: bytes of text hashed at a time
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: freed memory stays with the worker
+    _libc = None
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,13 +72,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     starts = np.flatnonzero(start)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-    longest = int(place.max()) + 1
-    powers = np.ones(longest, dtype=np.uint64)
-    np.cumprod(np.full(longest - 1, 0x9DDFEA08EB382D69, dtype=np.uint64), out=powers[1:])
-    h = np.add.reduceat(b.astype(np.uint64) * powers[place], starts)
-    return mix(h), np.searchsorted(starts, offsets)
+    ends = np.append(starts[1:], len(data))
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):  # whole words, about a megabyte at a time: the working arrays take many bytes for each byte of text
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        seg, at = b[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
+        place = np.arange(len(seg)) - np.repeat(at, np.diff(np.append(at, len(seg))))
+        out[i:j] = np.add.reduceat(seg.astype(np.uint64) * _powers(1 << int(place.max()).bit_length())[place], at)
+        i = j
+    return mix(out), np.searchsorted(starts, offsets)
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    np.cumprod(np.full(n - 1, 0x9DDFEA08EB382D69, dtype=np.uint64), out=out[1:])
+    return out
+
+
+def trim() -> None:
+    """Give freed memory back to the system: an executor's workers stay alive, each with what its largest step has held."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def grams(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:

@@ -134,6 +134,7 @@ def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> Or
                     held, size = [], 0
         if size:
             yield packed(held)
+        B.trim()
 
     def thin(x: np.ndarray) -> bytes:
         """Differences of sorted numbers, low and high halves apart: the latter are nearly all zero and compress away."""
@@ -160,6 +161,8 @@ def frequent_grams(docs: DataFrame, n: int = N, most: int = MOST_FREQUENT) -> Or
         load = int(c.sum())
         c = np.minimum(np.add.reduceat(c, cuts), 0xFFFFFFFF)
         k = c > OFTEN
+        del ones, order
+        B.trim()
         return pd.DataFrame({"halves": [x[cuts[k]].astype("<u4").tobytes()], "counts": [c[k].astype("<u4").tobytes()], "load": load, "over": [[int((c > OFTEN << j).sum()) for j in range(28)]]})
 
     counted = saved(docs.select(whole_text().alias("text")).mapInArrow(gather, "part int, ones binary, more binary, counts binary").groupBy("part").applyInPandas(count, "halves binary, counts binary, load long, over array<long>"), "frequent", free=True)
@@ -216,6 +219,7 @@ def members(docs: DataFrame, order: Order, n: int = N, percent: int = PERCENT, b
                 for col, x in zip(out, (*name, len(g), g[:p].astype("<u8").tobytes()), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(col, f.type) for col, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
+            B.trim()
 
     wide = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, c long, v long, n int, prefix binary"), "members")
     twice = wide.groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("c")
@@ -318,6 +322,7 @@ def candidates(rows: DataFrame, order: Order, parts: int, percent: int = PERCENT
                 held, size = {}, 0
         if held:
             yield packed(held)
+        B.trim()
 
     def packed(held: dict) -> pa.RecordBatch:
         g = np.concatenate([x for _, x in held.values()])
@@ -341,6 +346,7 @@ def candidates(rows: DataFrame, order: Order, parts: int, percent: int = PERCENT
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(b, dtype=entry) for b in pdf["data"]])
+        B.trim()
         return _found({"g": x["g"], "n": (x["n"] & ~mark).astype(np.int64), "marked": x["n"] >= mark, "rest": (x["rest"] & ~cut).astype(np.int64), "c": x["c"], "split": x["rest"] >= cut}, percent)
 
     packed_rows = rows.select("c", "n", "prefix").mapInArrow(gather, "part int, data binary")
@@ -393,6 +399,7 @@ def segments(docs: DataFrame, classes: DataFrame, order: Order, names: Names, n:
                         parts.append(g[f == k])
                         sizes.append(len(parts[-1]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+            B.trim()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(cs, dtype=np.int64), len(which))), pa.array(np.tile(np.array(which, dtype=np.int32), len(cs))), lists], schema=schema)
 
     rows = wanted.select("text").mapInArrow(run, "c long, f int, grams array<long>")

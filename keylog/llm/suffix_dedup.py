@@ -44,7 +44,7 @@ from keylog.llm.common import drop_saved, saved, table, whole_text
 LENGTH = 100
 GRAM = 40
 HOT = 20_000
-FLUSH = 32 << 20  #: bytes of text whose spans are reduced together before the shuffle
+FLUSH = 16 << 20  #: bytes of text whose spans are reduced together before the shuffle
 CHUNK = 1 << 20  #: windows hashed at a time
 _BASE = 0x9DDFEA08EB382D69
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -130,8 +130,10 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     new = np.concatenate([[True], (t[p[1:]] != t[p[:-1]]) | (t[p[1:] + 1] != t[p[:-1] + 1]) | (t[p[1:] + 2] != t[p[:-1] + 2])])
     names = np.empty(len(sample), dtype=np.int64)
     names[triples] = np.cumsum(new)
-    names_order = triples if new.all() else suffix_order(names)
-    ordered = sample[names_order]
+    differ = bool(new.all())
+    del p, new
+    ordered = sample[triples] if differ else sample[suffix_order(names)]
+    del names, triples, sample
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[ordered] = np.arange(1, len(ordered) + 1)
     ordered = ordered[ordered < n]
@@ -267,6 +269,7 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
             kinds = {"g": "<u8", "s": "<u8", "doc": "<i8", "rid": "<i8", "lo": "<u4", "hi": "<u4"}
             cols = [pa.array([v[a:b].astype(kinds[k]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in x.items()]
             first = (int(x["g"][0]) % max(len(cuts) - 1, 1)) if len(part) else 0
+            B.trim()
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), *cols, pa.array([local if i == first else b"" for i in range(len(cuts) - 1)], pa.binary())], schema=_BLOB)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,6 +282,7 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
         first = new_g | np.concatenate([[True], s[1:] != s[:-1]])
         gram = np.cumsum(new_g) - 1
         spans = np.bincount(gram, first)[gram]
+        B.trim()
         own = [np.frombuffer(b, dtype="<i8").reshape(3, -1) for b in pdf["local"]]
         rest = joined(*(np.concatenate([x, *(o[k] for o in own)]) for k, x in enumerate((rid[~first], lo[~first], hi[~first] + LENGTH))))
         c = first & (spans > 1)
@@ -323,6 +327,8 @@ def contested_repeats(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
         doc, rid, start = np.repeat(pdf["doc"].to_numpy(), k), np.repeat(pdf["rid"].to_numpy(), k), np.repeat(pdf["start"].to_numpy(), k) + step
         again = later(repeated(text, windows), doc, rid, start)
         spans = joined(rid[again], start[again], start[again] + LENGTH)
+        del text, windows, step, doc, rid, start, again
+        B.trim()
         return pd.DataFrame(dict(zip(("rid", "start", "end"), spans, strict=True)))
 
     dealt = rows.mapInArrow(deal, "part int, hot boolean, doc long, rid long, start long, windows int, text binary")
@@ -334,7 +340,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = _placed(docs)
     parts = _parts(docs)
     met = met_spans(docs, parts)
-    extra = contested_repeats(docs, met, parts)
+    extra = contested_repeats(docs, met, 4 * parts)  # spans travel one by one from here, so ranges can be finer
     spans = met.where("kind = 0").select("rid", "start", "end").unionByName(extra)
     by_doc = saved(spans.groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans", free=True)
     drop_saved(met)
