@@ -56,3 +56,43 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert S.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_equals_a_plain_reading_of_its_contract(spark):
+    """Every column of op8's rows by plain Python; the largest shard is as small as any contiguous cut of the ordered groups allows."""
+    import hashlib
+    import zlib
+    from collections import defaultdict
+
+    import duckdb
+
+    from keylog.llm import sharding
+
+    d = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{d}/documents.parquet'").fetchall())
+    rows = sharding.op8_sharding(spark, d).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    groups, shard_of, total, slots = defaultdict(int), {}, defaultdict(int), defaultdict(list)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None) and 0 <= r.shard < 16
+        groups[hashlib.md5(raw).hexdigest()[:15], raw] += r.size
+        assert shard_of.setdefault(raw, r.shard) == r.shard
+        total[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    ordered = [(n, raw) for (_, raw), n in sorted(groups.items(), key=lambda x: x[0][0])]
+    assert [shard_of[raw] for _, raw in ordered] == sorted(shard_of.values())  # contiguous
+
+    def shards(capacity):
+        used, room = 1, capacity
+        for n, _ in ordered:
+            if n > capacity:
+                return 10**9
+            if n > room:
+                used, room = used + 1, capacity
+            room -= n
+        return used
+
+    best = max(total.values())
+    assert shards(best) <= 16 < shards(best - 1)
