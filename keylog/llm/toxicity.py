@@ -41,6 +41,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,19 +170,22 @@ def tail(n: int, k: int, p: float) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(h, toxic, words, counts, sign) of the distinct texts among at most ``fit_rows`` labelled documents; of equal texts the highest label counts."""
+    """(k, h, toxic, words, counts, sign) of at most ``fit_rows`` labelled documents; k numbers the rows, h is the text's SHA-1."""
     lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(some), "doc_id")
-    texts = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = TaskContext.get().partitionId() << 33
         for pdf in (b[i : i + 100] for b in batches for i in range(0, len(b), 100)):
             found = [features(words(t)) for t in pdf["text"]]
             names = [list(x.keys()) for x in found]
-            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "words": names, "counts": [list(x.values()) for x in found], "sign": [signature(x).tobytes() for x in names]})
+            yield pd.DataFrame({"k": np.arange(k, k + len(pdf)), "h": pdf["h"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "words": names, "counts": [list(x.values()) for x in found], "sign": [signature(x).tobytes() for x in names]})
+            k += len(pdf)
+        B.trim()
 
-    return saved(texts.mapInPandas(count, "h string, toxic boolean, words array<string>, counts array<int>, sign binary"), "labelled")
+    texts = rows.select(F.sha1(F.col("text").cast("binary")).alias("h"), "text", (F.col("toxic") > 0).alias("toxic"))
+    return saved(texts.mapInPandas(count, "k long, h string, toxic boolean, words array<string>, counts array<int>, sign binary"), "labelled")
 
 
 def vocabulary(train: DataFrame, base: float) -> list[str]:
@@ -196,7 +200,9 @@ def vocabulary(train: DataFrame, base: float) -> list[str]:
 def fit(sample: DataFrame) -> OrdinalModel:
     """The model of a sample; every third text is held out for the threshold."""
     spark = sample.sparkSession
-    got = sample.select("h", "toxic", "sign").toArrow().sort_by("h")
+    got = sample.select("k", "h", "toxic", "sign").toArrow().sort_by([("h", "ascending"), ("toxic", "descending"), ("k", "ascending")])
+    h = np.asarray(got["h"])
+    got = got.filter(pa.array(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]))  # equal texts: one row, with the highest label
     toxic = np.asarray(got["toxic"]).astype(bool)
     if not toxic.any() or toxic.all():
         return OrdinalModel()
@@ -207,9 +213,9 @@ def fit(sample: DataFrame) -> OrdinalModel:
     n, n_bad = int((~third).sum()), int(toxic[~third].sum())
     if not n_bad or n_bad == n or not third.any():
         return OrdinalModel()
-    ids = got["h"].take(pa.array(kept)).to_pylist()
-    part = spark.createDataFrame([(h, i, bool(t)) for i, (h, t) in enumerate(zip(ids, third, strict=True))], "h string, i int, held boolean")
-    rows = sample.select("h", "toxic", "words", "counts").join(F.broadcast(part), "h")  # one row for each text of the bounded sample
+    ids = got["k"].take(pa.array(kept)).to_pylist()
+    part = spark.createDataFrame([(k, i, bool(t)) for i, (k, t) in enumerate(zip(ids, third, strict=True))], "k long, i int, held boolean")
+    rows = sample.select("k", "toxic", "words", "counts").join(F.broadcast(part), "k")  # one row for each text of the bounded sample
     vocab = vocabulary(rows.where("not held"), n_bad / n)
     if not vocab:
         return OrdinalModel()
@@ -265,6 +271,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             z = np.array([model.link(t) for t in pdf["text"]], dtype=float)
             s = model.above(z)
             some = pdf["text"].str.len().to_numpy() > 0
+            B.trim()
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "severity": np.where(some, s.sum(1), 0.0), "p_toxic": np.where(some, s[:, 0], 0.0), "grade": (np.where(some, s.sum(1), 0) + 0.5).astype(int), "rejected": some & (s[:, 0] >= model.cut)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(run, SCORES)
