@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each on what its predecessor kept."""
+"""The corpus pipeline: five stages over ``documents``, each on what its predecessor kept.
+
+Odd input: null and empty texts are clean, linked with nothing, without secrets (a null text stays null) and packed as their
+end id alone; rows without a doc_id are kept as near copies of nothing; rows that repeat a kept doc_id stay with it; of equal texts
+under several ids the smallest id stays; an empty table gives empty tables; all stages but the last return the columns they got, whatever their names.
+"""
 
 from __future__ import annotations
 
