@@ -25,7 +25,9 @@ their Jaccard similarity reaches the threshold. Steps, each a shuffle of packed
    distances to the leader. Open postings of more than ``HOT`` classes are cut into blocks, and each pair of blocks is a
    unit of work. All these pairs go through 4 as well.
    So no link between different components is lost, and the many links inside a large group
-   of near copies are never made.
+   of near copies are never made as rows.
+6. All links are inside components, so those of each class are counted there, over pairs of blocks of bounded size;
+   only one sum per class and unit is passed on.
 
 Edge cases: null or empty texts have no grams, no links, and are their own component;
 fewer words than n make one gram; every row is a document of its own, also if
@@ -57,6 +59,9 @@ FRAGMENTS = 6
 STAGES = ((0, 1), (2, 3, 4, 5))  #: fragments counted before and after pairs are pruned
 HOT = 1024  #: members of a posting that one group holds at once
 FLUSH = 1_000_000  #: grams a task gathers before it passes them on
+UNIT = 1024  #: classes of a component that are held against each other at once
+UNIT_GRAMS = 1_000_000  #: and the grams of their sets
+COLUMNS = 4096  #: grams of a matrix of memberships
 BROADCAST_IDS = 1_000_000  #: ids are broadcast up to this many, else joined by a shuffle
 
 
@@ -441,10 +446,95 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order
     return out
 
 
-def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, bits: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links) for every row of the documents.
+def common(owner: np.ndarray, grams: np.ndarray, k: int, cut: int) -> np.ndarray:
+    """Overlaps of the sets 0..cut-1 (rows) with the sets cut..k-1 (columns), or of all sets with all if cut is k.
 
-    n_links: links of the row's class that were made (at least those that hold its component together).
+    Grams of few sets give their pairs, the others are columns of a matrix of memberships, a bounded number at a time.
+    """
+    first = 0 if cut == k else cut
+    wide = k - first
+    out = np.zeros(cut * wide, dtype=np.int64)
+    by = np.argsort(grams, kind="stable")
+    g, owner = grams[by], owner[by]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(start, len(g)))
+    few = max(k // 12, 1)
+    for d in range(1, few):  # pairs of a gram's sets, d places apart; owners ascend within a gram
+        more = (count <= few) & (count > d)
+        if not more.any():
+            break
+        size = count[more] - d
+        at = np.repeat(start[more] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        x, y = owner[at], owner[at + d]
+        if first:
+            ok = (x < cut) & (y >= cut)
+            x, y = x[ok], y[ok] - cut
+        np.add.at(out, x * wide + y, 1)
+        if not first:
+            np.add.at(out, y * wide + x, 1)
+    out = out.reshape(cut, wide)
+    many = np.flatnonzero(count > few)
+    for s in range(0, len(many), COLUMNS):
+        some = many[s : s + COLUMNS]
+        size = count[some]
+        at = np.repeat(start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        m = np.zeros((k, len(some)), dtype=np.float32)  # sums of at most COLUMNS ones are exact
+        m[owner[at], np.repeat(np.arange(len(some)), size)] = 1
+        out += (m[:cut] @ m[first:].T).astype(np.int64)
+    return out
+
+
+def degrees(docs: DataFrame, classes: DataFrame, labels: DataFrame, order: Order, names: Names, n: int = N, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
+    """(c, n_links): with how many other classes each class links, for the classes (c, n, rep) in components (node, component).
+
+    All links are inside components. A component is dealt into blocks of bounded size, and every pair of its blocks, and every
+    block, is a unit that counts all overlaps in it at once. A unit passes on one sum per class, no pairs, and the
+    sums of a class are added. The work grows with the square of the classes in a component, as the number of links may.
+    """
+    inside = classes.join(labels.withColumnRenamed("node", "c"), "c")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("load"))
+    sizes = sizes.select("component", F.greatest(F.expr(f"(members + {unit - 1}) div {unit}"), F.expr(f"(load + {UNIT_GRAMS - 1}) div {UNIT_GRAMS}")).alias("blocks"))
+    inside = saved(inside.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("c"), "blocks")), "inside")
+    load = inside.agg(F.sum(F.col("n") * F.col("blocks"))).collect()[0][0] or 0
+    parts = max(_parts(docs), min(load // UNIT_GRAMS, 1 << 20))
+    sets = segments(docs, inside, order, names, n, (0,), 1).groupBy("c").agg(F.first("grams").alias("grams"))  # repeated rows count once
+    x = inside.drop("rep").join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x = x.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", "grams")
+    x = x.withColumn("part", F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(parts)))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All units of one hash range."""
+        pdf = pdf.sort_values(["component", "lo", "hi", "block", "c"])
+        comp, lo, hi, block, c = (pdf[k].to_numpy() for k in ("component", "lo", "hi", "block", "c"))
+        size, grams = pdf["n"].to_numpy().astype(np.int64), pdf["grams"].to_numpy()
+        new = np.flatnonzero((comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        links = np.zeros(len(pdf), dtype=np.int64)
+        for s, t in zip([0, *new], [*new, len(pdf)], strict=True):
+            k, across = int(t - s), lo[s] != hi[s]
+            cut = int((block[s:t] == lo[s]).sum()) if across else k
+            if across and cut in (0, k):
+                continue
+            owner = np.repeat(np.arange(k), [len(q) for q in grams[s:t]])
+            both = common(owner, np.concatenate(grams[s:t]), k, cut)
+            a, b = size[s : s + cut], size[s + cut : t] if across else size[s:t]
+            linked = 100 * both >= percent * (a[:, None] + b[None, :] - both)
+            if across:
+                links[s + cut : t] += linked.sum(axis=0)
+            else:
+                np.fill_diagonal(linked, False)
+            links[s : s + cut] += linked.sum(axis=1)
+        B.trim()
+        return pd.DataFrame({"c": c, "n_links": links})
+
+    done = saved(x.groupBy("part").applyInPandas(count, "c long, n_links long"), "degrees", free=True)
+    return done.groupBy("c").agg(F.sum("n_links").alias("n_links"))
+
+
+def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, bits: int = 64, unit: int = UNIT, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, least_id, n_links) for every row of the documents.
+
+    class_id names the set, the same for equal sets; least_id is the smallest doc_id that has it (null where only rows without a doc_id
+    have it; a row without words has its own). n_links: all other sets that link with this one; without ``count_links`` null.
     """
     order = frequent_grams(docs, n)
     wide, names = members(docs, order, n, percent, bits)
@@ -455,22 +545,25 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = H
     classes = saved(rows.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("rep")), "classes")
     pairs = saved(found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
     checked = overlaps(docs, pairs, classes, order, names, n, percent)
-    links = saved(checked.where("linked").select("a", "b"), "round1")
-    labels = components(links)
+    labels = components(saved(checked.where("linked").select("a", "b"), "round1"))
     for star in (True, False):
         more = unresolved(found, labels, checked, star, parts, percent, hot)
         if more.limit(1).count():
             extra = saved(overlaps(docs, more, classes, order, names, n, percent), "checked")
             checked = checked.unionByName(extra)
-            new = extra.where("linked").select("a", "b")
-            links = links.unionByName(new)
-            labels = merged(labels, new)
+            labels = merged(labels, extra.where("linked").select("a", "b"))
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = saved(named.join(least, "component").join(degree, "c", "left").select("c", "component_id", "n_links"), "named")
+    named = named.join(least, "component")
+    if count_links:
+        named = named.join(degrees(docs, classes, labels, order, names, n, percent, unit), "c", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = saved(named.select("c", "component_id", F.col("rep").alias("least_id"), "n_links"), "named")
     out = rows.select("doc_id", "c", F.col("n").cast("long").alias("n_shingles")).join(named, "c", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    none = F.col("n_shingles") == 0
+    own = lambda x: F.when(none, F.col("doc_id")).otherwise(F.col(x)).alias(x)
+    return out.select("doc_id", "n_shingles", own("component_id"), F.col("c").alias("class_id"), own("least_id"), F.when(none & F.lit(count_links), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -542,7 +635,8 @@ def unresolved(found: DataFrame, labels: DataFrame, checked: DataFrame, star: bo
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """The contract's columns; also class_id, the smallest doc_id with an equal set, and n_links, all other sets that link with it."""
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("least_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -551,7 +645,7 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept with it. The
     ids that go are broadcast up to BROADCAST_IDS and joined by a shuffle of the texts beyond.
     """
-    out = ngram_join(docs, n, percent).where("doc_id is not null")
+    out = ngram_join(docs, n, percent, count_links=False).where("doc_id is not null")
     kept = out.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     gone = saved(kept.where("not kept").select("doc_id"), "gone")
     few = gone.count() <= BROADCAST_IDS
@@ -565,7 +659,10 @@ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 l AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 75 * (m.n + o.n - k)),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.a = d.doc_id
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+k AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY v) AS class_id FROM (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS v FROM s GROUP BY doc_id)),
+m AS (SELECT l.a, count(DISTINCT y.class_id) AS n_links FROM l JOIN k x ON x.doc_id = l.a JOIN k y ON y.doc_id = l.b WHERE x.class_id <> y.class_id GROUP BY l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id,
+  coalesce(k.class_id, d.doc_id) AS class_id, coalesce(m.n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
 """

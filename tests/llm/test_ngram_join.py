@@ -52,12 +52,25 @@ def corpus(seed):
     return [*rows, (20_001, None), (20_000, ""), (20_002, " \n"), (None, rows[0][1]), (None, "alone by itself"), rows[5], (20_003, "a b"), (20_004, "A  B"), (20_005, "big " * 50_000)]
 
 
-@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, J.HOT, 64), (3, 7, 6)])
-def test_against_brute_force(spark, seed, hot, bits):
-    """Also with postings dealt out in chunks of seven, and with names of six bits, which many different sets share."""
+def brute_links(rows):
+    """(doc_id, smallest doc_id with an equal set, other sets that link) of every row."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    least, links = {}, {}
+    for (d, _), x in zip(rows, sets, strict=True):
+        if d is not None:
+            least[x] = min(least.get(x, d), d)
+    for x in set(sets):
+        links[x] = sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in set(sets) if x & y)
+    return sorted(((d, least.get(x) if x else d, links[x]) for (d, _), x in zip(rows, sets, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize(("seed", "hot", "bits", "unit"), [(1, J.HOT, 64, J.UNIT), (3, 7, 6, 5)])
+def test_against_brute_force(spark, seed, hot, bits, unit):
+    """Also with postings dealt out in chunks of seven, with names of six bits, which many different sets share, and components in blocks of five."""
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as c", "2 as n", "3 as component", "4 as f", "5 as block").repartition(3)
-    out = J.ngram_join(docs, hot=hot, bits=bits).collect()
+    out = J.ngram_join(docs, hot=hot, bits=bits, unit=unit).collect()
+    assert sorted(((r.doc_id, r.least_id, r.n_links) for r in out), key=repr) == brute_links(rows)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
     assert got == brute(rows)
     sets = {}
@@ -66,6 +79,19 @@ def test_against_brute_force(spark, seed, hot, bits):
     assert all(len(x) == 1 for x in sets.values()) and len(sets) == len(set().union(*sets.values()))
 
 
+@pytest.mark.parametrize("k", [2, 30, 90])
+def test_overlaps_of_blocks(k):
+    """Grams of few sets, of many, and more columns than a matrix holds."""
+    r = np.random.default_rng(k)
+    sets = [np.unique(np.concatenate([r.integers(0, 60, 40), r.integers(100, 9000, 3000 // k), r.integers(10_000, 10_200, 20)])) for _ in range(k)]
+    owner, grams = np.repeat(np.arange(k), [len(s) for s in sets]), np.concatenate(sets)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    whole = J.common(owner, grams, k, k)
+    off = ~np.eye(k, dtype=bool)
+    assert (whole[off] == want[off]).all()
+    assert (J.common(owner, grams, k, k // 2) == want[: k // 2, k // 2 :]).all()
+
+
 def test_fragments_follow_the_global_order_with_equal_loads(spark):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
