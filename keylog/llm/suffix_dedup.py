@@ -18,23 +18,31 @@ without losing a repeat:
    recursively until all names differ, the remaining suffixes are sorted by
    their first symbol and the rank that follows, and merged. Windows with equal
    prefixes are then neighbours, and neighbours are compared byte by byte.
-4. Grams with more than ``HOT`` contested spans are dealt out window by window by the
-   window's own hash, so that no group grows with the corpus.
+4. Hot grams, found beforehand on one document in ``ONE_IN`` (a list of at most ``MOST_HOT``, which only lays out the
+   work and changes no result), never meet as one: their spans are brought together by the hash of gram and span,
+   and what is left of them, as of any gram with more than ``HOT`` contested spans, is dealt out window by
+   window by the window's own hash. Equal windows of one block are compared and reduced before that shuffle,
+   so that neither a common gram nor a common window makes a group of all rows that hold it.
+
+Rows go by a number made of their file and their place in it, which is the same in every pass however the files are
+split among tasks, so executors may come and go between the passes.
 
 Edge cases: null and empty texts have no windows; texts shorter than LENGTH stay; rows
-that repeat a doc_id are ordered by their place in the table, a null doc_id comes last;
+that repeat a doc_id are ordered by file and place in it, a null doc_id comes last;
 overlapping repeats inside a document count; other columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +52,8 @@ from keylog.llm.common import drop_saved, saved, table, whole_text
 LENGTH = 100
 GRAM = 40
 HOT = 20_000
+ONE_IN = 16  #: documents of which one is looked at for hot grams
+MOST_HOT = 100_000  #: bound of the list of hot grams (0.8 MB)
 FLUSH = 16 << 20  #: bytes of text whose spans are reduced together before the shuffle
 CHUNK = 1 << 20  #: windows hashed at a time
 _BASE = 0x9DDFEA08EB382D69
@@ -191,16 +201,33 @@ def joined(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """The documents with rows in the same places whenever they are read: a plain scan of files as it is, all else written first."""
+    """The documents as rows of Parquet files: a plain scan of such files as it is, all else written first."""
     rows = docs.select("doc_id", "text")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
+    lines = [line.lstrip(" +-:") for line in plan.splitlines() if line.strip()]
+    plain = "_metadata" not in docs.columns and all(x.startswith(("Project", "Filter")) or x.startswith("Relation") and x.endswith("parquet") for x in lines)
     return rows if plain else saved(rows, "texts")
 
 
+def _file_hash(paths: list[str]) -> tuple[int, int]:
+    """(seed, bits) with which the files' hashes all differ."""
+    names = {re.sub(r"^(\w+):/+", r"\1:/", p) for p in paths}
+    bits = 2 * max(len(names) - 1, 0).bit_length() + 1
+    seed = 0
+    while len({xxhash.xxh64_intdigest(f"{seed}{p}", seed=42) >> (64 - bits) for p in names}) < len(names):
+        seed += 1
+    return seed, bits
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(rid, doc, text): rows of ``_placed`` documents numbered by their place, the same in every pass."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("doc"), whole_text().alias("text"))
+    """(rid, doc, text): rows of ``_placed`` documents numbered by file and place in it, the same in every pass."""
+    seed, bits = _file_hash(docs.inputFiles())
+    name = F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/")
+    high = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit(str(seed)), name)), 64 - bits)
+    place = F.col("_metadata.row_index")
+    place = F.when(place < (1 << (63 - bits)), place).otherwise(F.raise_error(F.lit("too many rows in one file")).cast("long"))
+    rid = F.shiftleft(high, 63 - bits).bitwiseOR(place)
+    return docs.select(rid.alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("doc"), whole_text().alias("text"))
 
 
 _BLOB = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("g", "s", "doc", "rid", "lo", "hi", "local"))])
@@ -251,18 +278,47 @@ def _parts(docs: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (8 << 20), 1 << 20), 4)
 
 
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the grams with about ``HOT`` spans or more, at most ``MOST_HOT`` of them, those with most spans.
+
+    Counted on one document in ONE_IN; decides where spans meet, never what is found.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, FLUSH):
+            x, again = _spans_of_block(*block)
+            g, k = np.unique(x["g"][~again].view(np.int64), return_counts=True)
+            B.trim()
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(k, pa.int64())], names=["g", "k"])
+
+    some = _numbered(docs).where(F.pmod(F.xxhash64("rid"), F.lit(ONE_IN)) == 0)
+    counts = some.mapInArrow(gather, "g long, k long").groupBy("g").agg(F.sum("k").alias("k")).where(F.col("k") * ONE_IN > HOT)
+    counts = saved(counts, "hot", free=True)
+    levels = [HOT << j for j in range(40)]
+    over = counts.agg(*(F.count(F.when(F.col("k") * ONE_IN > x, 1)) for x in levels)).collect()[0]
+    least = next(x for x, n in zip(levels, over, strict=True) if n <= MOST_HOT)
+    rows = counts.where(F.col("k") * ONE_IN > least).select("g").collect()  # at most MOST_HOT
+    drop_saved(counts)
+    return np.sort(np.array([r.g for r in rows], dtype=np.int64)).view(np.uint64)
+
+
+def _among(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin(g.view(np.int64), hot.view(np.int64)) if len(hot) else np.zeros(len(g), dtype=bool)
+
+
 def met_spans(docs: DataFrame, parts: int) -> DataFrame:
     """(kind, rid, start, end, g): kind 0, spans that repeat an earlier one; 1, contested ones (start .. end are window starts); 2, hot contested ones.
 
     Spans that repeat inside their block of text are settled there; they travel along, joined, with one of the block's ranges.
     """
+    hot = docs.sparkSession.sparkContext.broadcast(hot_grams(docs))  # bounded by MOST_HOT
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, FLUSH):
             x, again = _spans_of_block(*block)
             local = b"".join(v.astype("<i8").tobytes() for v in joined(x["rid"][again], x["lo"][again], x["hi"][again] + LENGTH))
             x = {k: v[~again] for k, v in x.items()}
-            part = _part_of(B.mix(x["g"]), parts)
+            part = _part_of(B.mix(np.where(_among(x["g"], hot.value), x["g"] ^ B.mix(x["s"]), x["g"])), parts)
             order = np.argsort(part, kind="stable")
             part, x = part[order], {k: v[order] for k, v in x.items()}
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
@@ -285,49 +341,89 @@ def met_spans(docs: DataFrame, parts: int) -> DataFrame:
         B.trim()
         own = [np.frombuffer(b, dtype="<i8").reshape(3, -1) for b in pdf["local"]]
         rest = joined(*(np.concatenate([x, *(o[k] for o in own)]) for k, x in enumerate((rid[~first], lo[~first], hi[~first] + LENGTH))))
-        c = first & (spans > 1)
-        kind = np.concatenate([np.zeros(len(rest[0])), np.where(spans[c] > HOT, 2, 1)]).astype(np.int8)
+        often = _among(g, hot.value)  # other spans of the gram are elsewhere
+        c = first & ((spans > 1) | often)
+        kind = np.concatenate([np.zeros(len(rest[0])), np.where(often[c] | (spans[c] > HOT), 2, 1)]).astype(np.int8)
         return pd.DataFrame({"kind": kind, "rid": np.concatenate([rest[0], rid[c]]), "start": np.concatenate([rest[1], lo[c]]), "end": np.concatenate([rest[2], hi[c]]), "g": np.concatenate([np.zeros(len(rest[0]), dtype=np.int64), g[c].astype(np.int64)])})
 
     packed = _numbered(docs).mapInArrow(gather, "part int, g binary, s binary, doc binary, rid binary, lo binary, hi binary, local binary")
     return saved(packed.groupBy("part").applyInPandas(meet, "kind byte, rid long, start long, end long, g long"), "met", free=True)
 
 
+#: windows: how many start in the text; below 0, a repeat of so many bytes that is settled
+_DEALT = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("text", pa.binary())])
+
+
+def _windows(size: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, doc, rid, start) of every window of pieces of text, of ``size`` bytes each, that follow each other."""
+    base, k = np.cumsum(size) - size, size - LENGTH + 1
+    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return np.repeat(base, k) + step, np.repeat(doc, k), np.repeat(rid, k), np.repeat(start, k) + step
+
+
+def _hot_windows(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows of contested spans (doc, rid, start, bytes), each by its own hash; what repeats another one held here is settled."""
+    text = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8)
+    fixed = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
+    at, doc, rid, start = _windows(np.array([len(h[3]) for h in held], dtype=np.int64), *fixed)
+    own = Hashes(text).of(at, at + LENGTH)
+    order = np.lexsort((start, rid, doc, own))
+    at, doc, rid, start, own = (x[order] for x in (at, doc, rid, start, own))
+    span = np.arange(LENGTH)
+    again = np.concatenate([[False], own[1:] == own[:-1]])
+    for some in np.array_split(np.flatnonzero(again), len(at) // 20_000 + 1):
+        again[some] = (text[at[some, None] + span] == text[at[some - 1, None] + span]).all(1)
+    r, s, e = joined(rid[again], start[again], start[again] + LENGTH)
+    at, doc, rid, start, own = (x[~again] for x in (at, doc, rid, start, own))
+
+    def batch(h: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, windows: np.ndarray, data: bytes, each: int) -> pa.RecordBatch:
+        offsets = np.arange(len(h) + 1, dtype=np.int32) * each
+        texts = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+        cols = [pa.array(_part_of(B.mix(h), parts), pa.int32()), pa.array(np.ones(len(h), dtype=bool)), *(pa.array(x, pa.int64()) for x in (doc, rid, start)), pa.array(windows, pa.int32()), texts]
+        return pa.RecordBatch.from_arrays(cols, schema=_DEALT)
+
+    yield batch(r.view(np.uint64), np.zeros(len(r), dtype=np.int64), r, s, s - e, b"", 0)
+    for i in range(0, len(at), 20_000):
+        j = slice(i, i + 20_000)
+        yield batch(own[j], doc[j], rid[j], start[j], np.ones(len(at[j]), dtype=np.int64), text[at[j, None] + span].tobytes(), LENGTH)
+
+
 def contested_repeats(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
     """(rid, start, end) of the windows of contested spans that occur earlier in another one."""
     asked = met.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end", "g")).alias("asked"))
     rows = _numbered(docs).join(asked, "rid")
-    schema = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("text", pa.binary())])
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
+            out: list[list] = [[] for _ in _DEALT]
             for rid, doc, text, asked in zip(batch["rid"].to_pylist(), batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
                 raw = text.encode()
                 g = np.array([a["g"] for a in asked], dtype=np.int64).view(np.uint64)
                 for a, part in zip(asked, _part_of(B.mix(g), parts).tolist(), strict=True):
-                    k = a["end"] - a["start"] + 1
+                    piece = raw[a["start"] : a["end"] + LENGTH]
                     if a["kind"] == 1:
-                        rows_ = [(part, False, doc, rid, a["start"], k, raw[a["start"] : a["end"] + LENGTH])]
+                        for col, value in zip(out, (part, False, doc, rid, a["start"], a["end"] - a["start"] + 1, piece), strict=True):
+                            col.append(value)
                     else:
-                        piece = np.frombuffer(raw[a["start"] : a["end"] + LENGTH], dtype=np.uint8)
-                        at = np.arange(k)
-                        own = _part_of(B.mix(Hashes(piece).of(at, at + LENGTH)), parts).tolist()
-                        rows_ = [(p, True, doc, rid, a["start"] + i, 1, piece[i : i + LENGTH].tobytes()) for i, p in enumerate(own)]
-                    for col, *values in zip(out, *rows_, strict=True):
-                        col.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                        held.append((doc, rid, a["start"], piece))
+                        size += len(piece)
+                        if size >= FLUSH // 4:
+                            yield from _hot_windows(held, parts)
+                            held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _DEALT, strict=True)], schema=_DEALT)
+        if held:
+            yield from _hot_windows(held, parts)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        done = pdf[pdf["windows"] < 0]
+        pdf = pdf[pdf["windows"] > 0]
         text = np.frombuffer(b"".join(pdf["text"]), dtype=np.uint8)
-        size = pdf["text"].str.len().to_numpy()
-        base, k = np.cumsum(size) - size, pdf["windows"].to_numpy().astype(np.int64)
-        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        windows = np.repeat(base, k) + step
-        doc, rid, start = np.repeat(pdf["doc"].to_numpy(), k), np.repeat(pdf["rid"].to_numpy(), k), np.repeat(pdf["start"].to_numpy(), k) + step
+        windows, doc, rid, start = _windows(pdf["text"].str.len().to_numpy(dtype=np.int64), pdf["doc"].to_numpy(), pdf["rid"].to_numpy(), pdf["start"].to_numpy())
         again = later(repeated(text, windows), doc, rid, start)
-        spans = joined(rid[again], start[again], start[again] + LENGTH)
-        del text, windows, step, doc, rid, start, again
+        settled = (done["rid"], done["start"], done["start"] - done["windows"])
+        spans = joined(*(np.concatenate([x, y.to_numpy(dtype=np.int64)]) for x, y in zip((rid[again], start[again], start[again] + LENGTH), settled, strict=True)))
+        del text, windows, doc, rid, start, again
         B.trim()
         return pd.DataFrame(dict(zip(("rid", "start", "end"), spans, strict=True)))
 

@@ -41,9 +41,10 @@ def corpus(seed):
     return [x for x in rows if x[0] is None or x == rows[3] or not (x[0] in ids or ids.add(x[0]))]
 
 
-@pytest.mark.parametrize("hot", [S.HOT, 3])
-def test_against_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "one_in"), [(S.HOT, 16), (3, 16), (3, 1), (1, 1)])
+def test_against_brute_force(spark, hot, one_in, monkeypatch):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "ONE_IN", one_in)
     monkeypatch.setattr(S, "FLUSH", 5000)
     rows = corpus(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rid", "2 as start", "3 as kind").coalesce(1)
@@ -52,6 +53,37 @@ def test_against_brute_force(spark, hot, monkeypatch):
     assert got == sorted(map(repr, S.brute_force(rows)))
 
 
+def test_hot_grams_are_bounded_and_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(S, "ONE_IN", 1)
+    monkeypatch.setattr(S, "HOT", 1)
+    rows = corpus(5)
+    docs = S._placed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    every = S.hot_grams(docs)
+    monkeypatch.setattr(S, "MOST_HOT", 5)
+    few = S.hot_grams(docs)
+    assert len(every) > 5 >= len(few) and np.isin(few, every).all() and (np.diff(every.view(np.int64)) > 0).all()
+    got = sorted(map(repr, [tuple(r) for r in S.dedup(docs).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()]))
+    assert got == sorted(map(repr, S.brute_force(rows)))
+
+
+def test_rows_keep_their_numbers_however_files_are_split(spark, tmp_path):
+    path = str(tmp_path / "a b%20c")
+    spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 50) as text").repartition(4).write.option("parquet.block.size", "20000").parquet(path)
+    docs = spark.read.parquet(path)
+    seen = []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            x = S._numbered(S._placed(docs))
+            seen.append((x.rdd.getNumPartitions(), {r.doc: r.rid for r in x.select("doc", "rid").collect()}))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert seen[0][0] < seen[1][0] and seen[0][1] == seen[1][1]
+    assert len(set(seen[0][1].values())) == 3000 and min(seen[0][1].values()) >= 0
+    assert S._file_hash([f"s3://b/{i}" for i in range(5000)])[1] == 27
+
+
 def test_anchors_meet_and_tile():
     r = random.Random(3)
     t = bytes(r.choice(b"abc") for _ in range(3000))
