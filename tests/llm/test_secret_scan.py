@@ -113,3 +113,56 @@ def test_sample_is_bounded_and_distinct(spark):
     few = S.sampled(docs, 100)
     assert 0 < few.count() < found.count()
     assert S.train(docs, most=10).recall is not None
+
+
+def test_training_sees_every_finding_of_every_document(spark):
+    # More documents, and more findings of each kind, than the bounds that training once had (8,000 and 6,000).
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("ghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice(["inter", "nation", "al", "is", "ation", "port", "en"]) for _ in range(5))
+    texts = [f"{some(4)} token = {some(20)} {word()}{some(1)} and more {some(5)}" for _ in range(9000)]
+    docs = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)] + [(9000, None), (9001, texts[0])], "doc_id long, text string")
+    every = {f for t in texts for f in S.findings(t)}
+    found = S.sampled(docs)
+    assert {(x.left, x.body, x.right, x.secret) for x in found.collect()} == every and sum(f[3] for f in every) > 8000
+    net = S.train(docs)
+    held = [f for f in every if S.held_out(f[1])] + [f for f in S.generated(S.MADE) if S.held_out(f[1])]
+    logit, y = S.logits_of(net, [f[:3] for f in held]), np.array([f[3] for f in held])
+    at = S.threshold(logit, y, S.RECALL)
+    kept = logit >= at
+    assert abs(net.cut - 1 / (1 + np.exp(-(net.scale[0] * at + net.scale[1])))) < 1e-9
+    assert net.recall == kept[y].mean() >= S.RECALL and net.precision == y[kept].mean()
+
+
+def test_one_part_on_executors_equals_the_fit_in_memory(spark):
+    texts = [f"xx token = ab{i:04d}Zk{i * i:06d} internationalisation{i % 30} \nword" for i in range(200)]
+    net = S.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    plain = S.fit(list({f for t in texts for f in S.findings(t)}))
+    assert abs(net.cut - plain.cut) < 1e-6 and np.allclose(S.packed(net), S.packed(plain), atol=1e-6)
+    assert (net.recall, net.precision) == (plain.recall, plain.precision)
+    empty = S.train(spark.createDataFrame([], "doc_id long, text string"))
+    assert np.allclose(S.packed(empty), S.packed(S.fit([])), atol=1e-6) and empty.recall >= S.RECALL
+
+
+def test_every_finding_is_in_a_part_and_in_a_step(spark):
+    rows = [(f"l{i}", f"{'ab' * (i % 40)}{i:012d}", f"r{i}", i >= 5) for i in range(600)]
+    found = spark.createDataFrame([(S._digest(*f[:3]).hex(), *f) for f in rows], "h string, left string, body string, right string, secret boolean")
+    parts = S.dealt(found, 4, {True: 1, False: 4}).collect()
+    got = {True: [], False: []}
+    for p in parts:
+        x, h, y = np.frombuffer(p.x, dtype=np.int8).reshape(-1, S.WIDTH), np.frombuffer(p.h).reshape(-1, 2), np.frombuffer(p.y, dtype=bool)
+        assert len(x) == len(h) == len(y) and (~y).sum() == 5
+        for k in (True, False):
+            got[k] += [(a.tobytes(), b.tobytes()) for a, b in zip(x[y == k], h[y == k], strict=True)]
+    assert sorted(p.part for p in parts) == [0, 1, 2, 3]
+    for k in (True, False):
+        x, h = S.features([f[:3] for f in rows if f[3] == k])
+        assert sorted(got[k]) == sorted([(a.tobytes(), b.tobytes()) for a, b in zip(x, h, strict=True)] * (1 if k else 4))
+    y, old = np.array([f[3] for f in rows] + [True, False] * 50), np.arange(700) >= 600
+    steps = S.batches(np.random.default_rng(1), y, old)
+    assert set(np.concatenate(steps)) == set(range(700)) and all(y[i].sum() == sum(S.BATCH[True]) for i in steps)
+
+
+def test_features_are_those_of_windows():
+    rows = [f[:3] for f in S.generated(200)] + [("x" * 40, "aB3/" * 30, "é\0q" * 20), ("", "a" * 49, ""), ("ab", "c" * 48, "")]
+    assert np.array_equal(S.features(rows)[0], np.concatenate([S.windows(a + b + c, [(len(a), len(a) + len(b))]) for a, b, c in rows]))
