@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keylog.operators import lookup
 from keylog.operators.compaction import Leveled, Strategy, Tiered, is_bottom, merge
+from keylog.operators.layout import held, sizes
 from keylog.operators.resolve import history, latest, live
 from keylog.plans.manifest import Conflict, Manifest, Run, State
 from keylog.plans.pruning import runs_for
@@ -173,18 +174,21 @@ class Store:
         """(key, found, value) for each key."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame([(bytearray(as_key(k)),) for k in keys], "key binary")
-        return lookup.multi_get(self._ops_of(keys), keys)
+        rows, held = self._ops_of(keys)
+        return lookup.multi_get(rows, keys, held)
 
     def contains(self, keys: DataFrame) -> DataFrame:
-        return lookup.contains(self._ops_of(keys), keys)
-
-    def _ops_of(self, keys: DataFrame) -> DataFrame:
-        """The op-log rows between the least and the greatest asked key; runs outside are not planned."""
-        ends = keys.agg(F.min(F.col("key").cast("binary")).alias("low"), F.max(F.col("key").cast("binary")).alias("high")).collect()[0]
-        if ends.low is None:
-            return self.ops()
-        low, high = bytes(ends.low), bytes(ends.high)
-        return self.ops(low, high).where(lookup.between(low, high))
+        rows, held = self._ops_of(keys)
+        return lookup.contains(rows, keys, held)
+
+    def _ops_of(self, keys: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        """The op-log rows between the least and the greatest asked key, runs outside are not planned; bytes in memory of the rows of the others, and of the keys."""
+        asked = keys.select(F.col("key").cast("binary").alias("key"))
+        ends = asked.agg(F.min("key").alias("low"), F.max("key").alias("high"), *sizes(asked)).collect()[0]
+        low, high = (None, None) if ends.low is None else (bytes(ends.low), bytes(ends.high))
+        runs = runs_for(self.manifest.read().runs, low, high)
+        size = held(sum(r.rows for r in runs) + len(self._buffer), sum(r.bytes for r in runs) + self._buffer_bytes), held(ends.rows, ends.bytes)
+        return self.ops(low, high).where(lookup.between(low, high)), size
 
     def scan(self, start: str | bytes | None = None, end: str | bytes | None = None, version: int | None = None) -> DataFrame:
         """Live keys in [start, end], ascending; runs outside the range are not even planned."""

@@ -212,3 +212,39 @@ def test_manifest_survives_a_torn_temp_file(spark, store):
     with open(os.path.join(store.manifest.folder, "00000000000000000009.json.x.tmp"), "w") as f:
         f.write("{")
     assert store.get("a") == b"1"
+
+
+def test_a_large_batch_is_dealt_to_more_files_than_asked(spark, store):
+    store.put_df(spark.range(1_000_000).selectExpr("format_string('key_%010d', id) as key", "repeat('v', 100) as value"), unique=True)
+    (run,) = store.manifest.read().runs
+    assert run.rows == 1_000_000 and store.files().count() == 3
+    assert store.manifest.files.names(f"{store.manifest.files.root}/runs") == [run.path.rsplit("/", 1)[-1]]
+    assert store.get("key_0000777777") == b"v" * 100
+
+
+def test_many_asked_keys_are_sorted_once_whatever_the_runs(spark, store, monkeypatch):
+    model = {}
+    for n in range(3):
+        rows = [(f"k{i:04d}", f"{n}:{i}") for i in range(n, 1500, n + 1)]
+        store.put_df(frame(spark, rows))
+        model |= dict(rows)
+    store.delete_df(frame(spark, [("k0007",), ("k0008",)], "key string"))
+    store.put("k0009", "new")
+    model = {k: v for k, v in model.items() if k not in ("k0007", "k0008")} | {"k0009": "new"}
+    asked = [f"k{i:04d}" for i in range(2000)] + ["k0003", "k0003", "k0007", None]
+    keys = frame(spark, [(k,) for k in asked], "key string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.multi_get(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        monkeypatch.setattr("keylog.operators.layout.TASK_BYTES", 32 << 10)
+        got = store.multi_get(keys)
+        n = got._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1:]
+        assert len(n) == 2 and all(int(x.split(", ")[1].split(")")[0]) == 11 for x in n)  # 344 kB in parts of 32
+        text = lambda x: None if x is None else bytes(x).decode()
+        want = sorted(((k, k in model, model.get(k)) for k in asked), key=repr)
+        assert sorted(((text(r.key), r.found, text(r.value)) for r in got.collect()), key=repr) == want
+        assert sorted(((text(r.key), r.found) for r in store.contains(keys).collect()), key=repr) == [w[:2] for w in want]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
