@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from keylog.schema import OP_SCHEMA
 from keylog.workspace import Files
 
 
-def write_run(df: DataFrame, path: str, level: int, *, seq: int | None = None, unique: bool = True, partitions: int | None = None, bloom_fpp: float = 0.01, row_group_bytes: int = 128 << 20, size: int | None = None) -> Run | None:
+def write_run(df: DataFrame, path: str, level: int, *, seq: int | None = None, unique: bool = True, partitions: int | None = None, bloom_fpp: float = 0.01, row_group_bytes: int = 128 << 20, size: int | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None) -> Run | None:
     """Write op-log rows as one run and describe it; None if there are no rows.
 
     Files do not overlap in key and are sorted, so a range meets few files and row
@@ -22,24 +22,26 @@ def write_run(df: DataFrame, path: str, level: int, *, seq: int | None = None, u
     observed while writing. partitions: the least number of files; there are more where
     a task would have too much to sort. size: bytes that the rows take in memory. Where it is unknown they are written
     as they come and measured first, so that the sampling for the ranges does not compute them again.
+    resolve: what becomes of the rows of a range, which has all rows of its keys; an aggregate by key needs no other shuffle there.
     """
     rows = df.select(*OP_SCHEMA.names)
     if size is not None:
-        return _write_sorted(rows, path, level, seq, unique, max(partitions or 1, tasks(size)), bloom_fpp, row_group_bytes)
+        return _write_sorted(rows, path, level, seq, unique, max(partitions or 1, tasks(size)), bloom_fpp, row_group_bytes, resolve)
     unsorted = Files(df.sparkSession, f"{path}-unsorted")
     try:
         seen = Observation()
         rows.observe(seen, *sizes(rows)).write.option("compression", "zstd").parquet(f"{path}-unsorted")
         n = max(partitions or 1, tasks(held(seen.get["rows"], seen.get["bytes"])))
-        return _write_sorted(df.sparkSession.read.schema(OP_SCHEMA).parquet(f"{path}-unsorted"), path, level, seq, unique, n, bloom_fpp, row_group_bytes)
+        return _write_sorted(df.sparkSession.read.schema(OP_SCHEMA).parquet(f"{path}-unsorted"), path, level, seq, unique, n, bloom_fpp, row_group_bytes, resolve)
     finally:
         unsorted.remove(unsorted.root)
 
 
-def _write_sorted(rows: DataFrame, path: str, level: int, seq: int | None, unique: bool, n: int, bloom_fpp: float, row_group_bytes: int) -> Run | None:
+def _write_sorted(rows: DataFrame, path: str, level: int, seq: int | None, unique: bool, n: int, bloom_fpp: float, row_group_bytes: int, resolve: Callable[[DataFrame], DataFrame] | None) -> Run | None:
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
     seen = Observation()
     rows = rows.repartitionByRange(n, "key")
+    rows = resolve(rows) if resolve else rows
     rows = rows.sortWithinPartitions("key").observe(
         seen, F.count("*").alias("rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(size).alias("bytes"),
         F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count_if("is_delete").alias("tombstones"), F.count_if(F.col("key").isNull()).alias("null_keys"),

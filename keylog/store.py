@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
@@ -95,8 +96,6 @@ class Store:
         return self.put_df(gone, unique=True, batch_id=batch_id)
 
     def _run_path(self) -> str:
-        import uuid
-
         return f"{self.path}/runs/{uuid.uuid4().hex}"
 
     def _commit_run(self, rows: DataFrame, batch_id: str | None) -> State:
@@ -236,8 +235,16 @@ class Store:
         return self.run_job(state, state.runs, self.options.num_levels - 1) if state.runs else state
 
     def run_job(self, state: State, inputs: list[Run], output_level: int) -> State:
-        rows = merge(read_runs(self.spark, inputs), is_bottom(inputs, state.runs, output_level))
-        run = write_run(rows, self._run_path(), output_level, partitions=self.options.partitions, bloom_fpp=self.options.bloom_fpp, row_group_bytes=self.options.row_group_bytes)
+        """Merge the inputs into a run of a level. A single run that the merge would leave as it is keeps its files and moves by name."""
+        o, bottom, one = self.options, is_bottom(inputs, state.runs, output_level), inputs[0]
+        layout = {"partitions": o.partitions, "bloom_fpp": o.bloom_fpp, "row_group_bytes": o.row_group_bytes}
+        if len(inputs) == 1 and one.unique and not (bottom and one.n_tombstones):
+            run = replace(one, run_id=uuid.uuid4().hex, level=output_level)  # a new id: a job that has taken the old one must notice
+        elif all(r.unique for r in inputs):  # few versions of a key: they meet in its range
+            size = held(sum(r.rows for r in inputs), sum(r.bytes for r in inputs))
+            run = write_run(read_runs(self.spark, inputs), self._run_path(), output_level, size=size, resolve=lambda rows: merge(rows, bottom), **layout)
+        else:
+            run = write_run(merge(read_runs(self.spark, inputs), bottom), self._run_path(), output_level, **layout)
         gone = {r.run_id for r in inputs}
 
         def swap(old: State) -> State:

@@ -248,3 +248,26 @@ def test_many_asked_keys_are_sorted_once_whatever_the_runs(spark, store, monkeyp
         assert sorted(((text(r.key), r.found) for r in store.contains(keys).collect()), key=repr) == [w[:2] for w in want]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_run_goes_down_many_levels_written_once(spark):
+    s = Store.open(spark, scratch(spark, "test"), StoreOptions(partitions=2, base_bytes=64, multiplier=2))
+    s.put_df(frame(spark, [(f"k{i:04d}", "v" * 20) for i in range(400)]))
+    s.put_df(frame(spark, [(f"k{i:04d}", "w") for i in range(0, 400, 10)]))
+    s.delete_df(frame(spark, [(f"k{i:04d}",) for i in range(0, 400, 7)], "key string"))
+    want = [(f"k{i:04d}".encode(), b"w" if i % 10 == 0 else b"v" * 20) for i in range(400) if i % 7]
+    s.compact()
+    assert s.manifest.read().runs[0].level > 3
+    s.compact_all()
+    (run,) = s.manifest.read().runs
+    assert (run.level, run.rows, run.n_tombstones) == (6, len(want), 0)
+    assert len(s.manifest.files.names(f"{s.manifest.files.root}/runs")) == 4  # three batches and their merge
+    assert len(s.vacuum()) == 3 and pairs(Store.open(spark, s.path).scan()) == want
+
+
+def test_a_moved_run_keeps_what_the_merge_would(spark, store):
+    store.delete_df(frame(spark, [("a",)], "key string"))
+    assert store.compact_all().runs == []  # a tombstone with nothing to hide is not moved but dropped
+    store.add_run(spark.createDataFrame([(b"a", b"1", False, 7), (b"a", b"2", False, 8)], store.ops().schema), 0)
+    (run,) = store.compact_all().runs  # nor is a run with several versions of a key
+    assert (run.rows, run.level) == (1, 6) and pairs(store.table()) == [(b"a", b"2")]
